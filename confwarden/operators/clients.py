@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from confwarden import fixed
 from confwarden.functions import expand_template
+from confwarden.operators.lookup import only_found
 
 CLIENT_KEY = ["realm", "client_uuid"]
 NAME_KEY = ["realm", "client_id"]
@@ -93,9 +94,13 @@ def first_of_name(clients: DataFrame) -> DataFrame:
 
 
 def lookup_client(targets: DataFrame, clients: DataFrame) -> DataFrame:
-    """Targets with the client of exactly that name in that tenant."""
-    names = clients.groupBy(*NAME_KEY).agg(F.min("client_uuid").alias("client_uuid"))
-    return targets.join(names, NAME_KEY)
+    """Targets with the client of exactly that name in that tenant.
+
+    Clients that are no target are left out before anything is grouped.
+    """
+    named = only_found(clients.select(*NAME_KEY, "client_uuid"), targets.select(*NAME_KEY), NAME_KEY)
+    firsts = named.groupBy(*NAME_KEY).agg(F.min("client_uuid").alias("client_uuid"))
+    return targets.join(firsts, NAME_KEY)
 
 
 def missing_targets(targets: DataFrame, clients: DataFrame) -> DataFrame:

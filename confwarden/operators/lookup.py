@@ -1,8 +1,19 @@
-"""The join every membership question goes through."""
+"""The joins every membership question goes through."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+DIGEST = "key_digest"
+
+
+def _join(rows, found, key, how):
+    for name in key:
+        if rows.schema[name].dataType != found.schema[name].dataType:
+            raise TypeError(f"{name} has different types on the two sides")
+    digest = F.xxhash64(*key)
+    left, right = rows.withColumn(DIGEST, digest), found.withColumn(DIGEST, digest)
+    return left.join(right, [*key, DIGEST], how).drop(DIGEST)
+
 
 def lookup(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     """Left outer join of many ``rows`` to a set ``found``, safe for a hot key.
@@ -10,16 +21,14 @@ def lookup(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     A small ``found`` is broadcast by Spark's own size check and ``rows`` stay where they
     are.  Beyond that size both sides are shuffled, and adaptive execution splits a
     partition of ``rows`` that one key has made too large.  It can only do so if the join
-    sits on two shuffles of its own.  A ``found`` that was just grouped by the same key
-    would not be shuffled again, so a digest of the key is added to it: no existing
-    partitioning matches that, and the small side is shuffled once more.
+    sits on two shuffles of its own, and if no later step relies on how the join leaves
+    its output partitioned.  Both are seen to by adding a digest of the key: a ``found``
+    that was just grouped by the key is shuffled once more, and so is a result that is
+    grouped by it.
     """
-    for name in key:
-        if rows.schema[name].dataType != found.schema[name].dataType:
-            raise TypeError(f"{name} has different types on the two sides")
-    digest = F.xxhash64(*key)
-    return (
-        rows.withColumn("key_digest", digest)
-        .join(found.withColumn("key_digest", digest), [*key, "key_digest"], "left")
-        .drop("key_digest")
-    )
+    return _join(rows, found, key, "left")
+
+
+def only_found(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is in ``found``, by the same kind of join."""
+    return _join(rows, found, key, "left_semi")

@@ -1,6 +1,6 @@
 """The jobs users call."""
 
-from confwarden.plans.audit import AuditConfig, AuditResult, Entities, audit
+from confwarden.plans.audit import AuditConfig, AuditResult, Entities, audit, commit_audit
 from confwarden.plans.ensure_clients import ensure_clients
 from confwarden.plans.token_mode import TokenModePlan, plan_token_mode
 
@@ -10,6 +10,7 @@ __all__ = [
     "Entities",
     "TokenModePlan",
     "audit",
+    "commit_audit",
     "ensure_clients",
     "plan_token_mode",
 ]

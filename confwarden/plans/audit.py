@@ -1,11 +1,12 @@
 """Audit: role policies whose roles are all gone, permissions left with such policies only.
 
 The plan is made from one snapshot, so nothing shifts while it is read, and equals what a
-dry run reports.  Both sets of findings are landed: phase two, the delete plan and the
-counters read them from there, and a lost executor costs no more than its own tasks.
+dry run reports.  Scope and both sets of findings are landed: phase two, the delete plan
+and the counters read them from there instead of computing them again, and a lost executor
+costs no more than its own tasks.
 """
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from confwarden.operators.refs import (
     with_role_ids,
 )
 from confwarden.session import land, work_folder
+from confwarden.sinks.ledger import append_ledger, done_rows
+from confwarden.sinks.tables import write_plan
 from confwarden.sources.guard import complete_realms, incomplete_exports
 from confwarden.sources.targets import target_list
 
@@ -77,7 +80,8 @@ class AuditResult:
     counts: DataFrame
     plan: DataFrame
     summary: DataFrame
-    rejected: DataFrame | None = field(default=None)
+    folder: str
+    rejected: DataFrame | None = None
 
 
 def scope_of(entities: Entities, config: AuditConfig):
@@ -198,6 +202,8 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
     folder = folder or work_folder(spark, "audit")
 
     realms, clients, rejected = scope_of(entities, config)
+    realms = land(realms.select("realm"), f"{folder}/realm")
+    clients = land(clients, f"{folder}/client")
     dead = land(
         dead_policies(role_edges(entities.policies, clients, entities.details), entities.roles),
         f"{folder}/dead_policy",
@@ -221,5 +227,17 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
             delete_plan(findings, config.dry_run), group, "target_id", config.batch_size
         ),
         summary=run_summary(realms, clients, dead, orphaned, entities.outcomes),
+        folder=folder,
         rejected=rejected,
     )
+
+
+def commit_audit(result: AuditResult, ledger: str, run_id: str, ts) -> DataFrame:
+    """Write the delete plan into the run's folder, then mark the scope as done.
+
+    In this order: a run that fails in between leaves no ledger rows, and its clients are
+    audited again.  Returns the whole ledger.
+    """
+    write_plan(result.plan, f"{result.folder}/plan", mode="overwrite")
+    rows = done_rows(result.clients, run_id, ts).unionByName(done_rows(result.realms, run_id, ts))
+    return append_ledger(rows, ledger)
