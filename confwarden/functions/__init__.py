@@ -10,6 +10,7 @@ from confwarden.functions.columns import (
     decode_role_ids,
     expand_template,
     final_outcome,
+    first_with_ids,
     http_outcome,
     log_line,
     map_upsert,
@@ -37,6 +38,7 @@ __all__ = [
     "decode_role_ids",
     "expand_template",
     "final_outcome",
+    "first_with_ids",
     "has_mapper",
     "http_outcome",
     "insert_mapper",

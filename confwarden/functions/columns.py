@@ -40,9 +40,14 @@ def clean_ids(ids):
     return F.filter(ids, lambda x: x.isNotNull() & (x != F.lit("")))
 
 
+def first_with_ids(*lists):
+    """The first list that is not empty; null if all are."""
+    return F.get(F.filter(F.array(*lists), lambda ids: F.size(ids) > 0), F.lit(0))
+
+
 def _array_text(text):
     """``text`` if it is an array: a lone object would decode to a one-element array."""
-    return F.when(F.startswith(trim_space(text), F.lit("[")), text)
+    return F.when(text.rlike(r"^\s*\["), text)
 
 
 def decode_role_ids(text):
@@ -50,8 +55,7 @@ def decode_role_ids(text):
 
     Anything but a list, and a list with an element that is not an object, has none.
     """
-    objects = F.from_json(_array_text(text), "array<struct<id:string>>")
-    return clean_ids(F.transform(objects, lambda x: x["id"]))
+    return clean_ids(F.from_json(_array_text(text), "array<struct<id:string>>").getField("id"))
 
 
 def decode_assoc_ids(text):

@@ -2,17 +2,22 @@
 
 A document keeps its references as JSON text inside ``config``.  They are decoded,
 cleaned and exploded inside the row: nothing is shuffled until an edge is looked up.
-``refs`` carries the number of usable references along, so that no later step has to
-count them again.
+``refs`` carries the number of usable references along, so that a document exported twice
+is not counted twice.
+
+Decoding is the expensive part, so no condition is ever put on a decoded list: the
+optimizer would move it below the projection and decode a second time to test it.  Lists
+are exploded with their empty ones kept, and the conditions are put on the exploded id.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confwarden import fixed
-from confwarden.functions import clean_ids, decode_assoc_ids, decode_role_ids
+from confwarden.functions import clean_ids, decode_assoc_ids, decode_role_ids, first_with_ids
 
 POLICY_KEY = ["realm", "client_uuid", "policy_id"]
+PERMISSION_KEY = ["realm", "client_uuid", "permission_id"]
 
 
 def policies_of_type(policies: DataFrame, *types: str) -> DataFrame:
@@ -31,29 +36,6 @@ def with_role_ids(policies: DataFrame) -> DataFrame:
     )
 
 
-def complete_role_ids(policies: DataFrame, details: DataFrame) -> DataFrame:
-    """Fill an empty ``role_ids`` from the detail record of the policy.
-
-    The detail holds the list as text in its configuration or as a plain array; the
-    first of these with a usable id is taken.  Only policies that lack references are
-    joined, so the rest, normally nearly all, is not shuffled.
-    """
-    carried = [c for c in policies.columns if c != "role_ids"]
-    listed = policies.filter(F.size("role_ids") > 0)
-    bare = policies.filter(F.size("role_ids") == 0).drop("role_ids")
-
-    from_config = decode_role_ids(F.col("config").getItem(fixed.ROLES_KEY))
-    from_list = clean_ids(F.transform("roles", lambda r: r["id"]))
-    found = details.select(
-        *POLICY_KEY,
-        F.when(F.size(from_config) > 0, from_config).otherwise(from_list).alias("role_ids"),
-    )
-    filled = bare.join(found, POLICY_KEY, "left").select(
-        *carried, clean_ids(F.col("role_ids")).alias("role_ids")
-    )
-    return listed.select(*carried, "role_ids").unionByName(filled)
-
-
 def with_assoc_ids(permissions: DataFrame) -> DataFrame:
     """Permissions with ``policy_ids`` decoded from their configuration."""
     return permissions.withColumn(
@@ -61,29 +43,53 @@ def with_assoc_ids(permissions: DataFrame) -> DataFrame:
     )
 
 
-def complete_assoc_edges(permissions: DataFrame, associations: DataFrame) -> DataFrame:
-    """Edges of permissions; one with an empty ``policy_ids`` takes its rows from
-    ``associations``.
-
-    The associations are edges already and are not collected into lists, so ``refs`` is
-    left for the verdict to count.
-    """
-    key = ["realm", "client_uuid", "permission_id"]
-    listed = explode_refs(permissions, "policy_ids", "policy_id").drop("refs")
-    bare = permissions.filter(F.size("policy_ids") == 0).drop("policy_ids")
-    usable = associations.select(*key, "policy_id").filter(
-        F.col("policy_id").isNotNull() & (F.col("policy_id") != "")
-    )
-    return listed.unionByName(usable.join(bare, key).select(*listed.columns))
-
-
 def has_refs(df: DataFrame, ids: str = "role_ids") -> DataFrame:
     return df.filter(F.size(ids) > 0)
 
 
-def explode_refs(df: DataFrame, ids: str = "role_ids", into: str = "role_id") -> DataFrame:
-    """One row per reference; a record without references has none."""
+def _explode(df, ids, into):
     carried = [c for c in df.columns if c != ids]
     return df.select(
-        *carried, F.size(ids).cast("long").alias("refs"), F.explode(ids).alias(into)
+        *carried, F.size(ids).cast("long").alias("refs"), F.explode_outer(ids).alias(into)
+    )
+
+
+def explode_refs(df: DataFrame, ids: str = "role_ids", into: str = "role_id") -> DataFrame:
+    """One row per reference; a record without references has none."""
+    return _explode(df, ids, into).filter(F.col(into).isNotNull())
+
+
+def complete_role_refs(policies: DataFrame, details: DataFrame) -> DataFrame:
+    """References of policies with ``role_ids``; an empty list is taken from the detail.
+
+    The detail record holds the list as text in its configuration or as a plain array; the
+    first of these with a usable id counts.  Only policies that lack references are joined,
+    so the rest, normally nearly all, is not shuffled.
+    """
+    edges = _explode(policies, "role_ids", "role_id")
+    bare = edges.filter(F.col("role_id").isNull()).drop("refs", "role_id")
+    found = details.select(
+        *POLICY_KEY,
+        first_with_ids(
+            decode_role_ids(F.col("config").getItem(fixed.ROLES_KEY)),
+            clean_ids(F.col("roles").getField("id")),
+        ).alias("role_ids"),
+    )
+    filled = explode_refs(bare.join(found, POLICY_KEY))
+    return edges.filter(F.col("role_id").isNotNull()).unionByName(filled.select(*edges.columns))
+
+
+def complete_assoc_refs(permissions: DataFrame, associations: DataFrame) -> DataFrame:
+    """Associations of permissions with ``policy_ids``; an empty list is taken from the
+    association table.
+
+    That table holds edges, which are not collected into lists, so ``refs`` is left for
+    the verdict to count.
+    """
+    edges = _explode(permissions, "policy_ids", "policy_id").drop("refs")
+    bare = edges.filter(F.col("policy_id").isNull()).drop("policy_id")
+    usable = associations.select(*PERMISSION_KEY, "policy_id").filter(
+        F.col("policy_id").isNotNull() & (F.col("policy_id") != "")
     )
+    filled = usable.join(bare, PERMISSION_KEY)
+    return edges.filter(F.col("policy_id").isNotNull()).unionByName(filled.select(*edges.columns))

@@ -24,8 +24,8 @@ from confwarden.operators.clients import (
 from confwarden.operators.counts import findings_by_client, run_summary
 from confwarden.operators.liveness import dead_permissions, dead_policies
 from confwarden.operators.refs import (
-    complete_assoc_edges,
-    complete_role_ids,
+    complete_assoc_refs,
+    complete_role_refs,
     explode_refs,
     flatten_policies,
     policies_of_type,
@@ -111,11 +111,11 @@ def scope_of(entities: Entities, config: AuditConfig):
 def role_edges(policies: DataFrame, clients: DataFrame, details: DataFrame | None = None):
     """References of the role policies of ``clients``."""
     mine = flatten_policies(policies_of_type(policies, fixed.ROLE_POLICY), "config").join(
-        clients, CLIENT_KEY
+        clients.select(*CLIENT_KEY), CLIENT_KEY, "left_semi"
     )
     listed = with_role_ids(mine).drop("config")
     if details is not None:
-        listed = complete_role_ids(listed, details)
+        return complete_role_refs(listed, details)
     return explode_refs(listed, "role_ids", "role_id")
 
 
@@ -124,38 +124,25 @@ def permission_edges(policies: DataFrame, clients: DataFrame, associations: Data
     mine = (
         flatten_policies(policies_of_type(policies, *fixed.PERMISSION_TYPES), "type", "config")
         .withColumnRenamed("policy_id", "permission_id")
-        .join(clients, CLIENT_KEY)
+        .join(clients.select(*CLIENT_KEY), CLIENT_KEY, "left_semi")
     )
     listed = with_assoc_ids(mine).drop("config")
     if associations is not None:
-        return complete_assoc_edges(listed, associations)
+        return complete_assoc_refs(listed, associations)
     return explode_refs(listed, "policy_ids", "policy_id")
 
 
 def all_findings(policies: DataFrame, permissions: DataFrame) -> DataFrame:
     """Both kinds of findings in one table, told apart by ``phase``."""
-    phase = F.lit(None).cast("string")
-    for kind, name in fixed.PERMISSION_PHASES.items():
-        phase = F.when(F.col("type") == kind, F.lit(name)).otherwise(phase)
-    first = policies.select(
-        *CLIENT_KEY,
-        "client_id",
-        F.lit(fixed.POLICY_PHASE).alias("phase"),
-        F.lit(fixed.ROLE_POLICY).alias("type"),
-        F.col("policy_id").alias("target_id"),
-        "name",
-        "refs",
+    columns = [*CLIENT_KEY, "phase", "type", "target_id", "name", "refs"]
+    phase = F.when(F.col("type") == "scope", fixed.PERMISSION_PHASES["scope"]).otherwise(
+        fixed.PERMISSION_PHASES["resource"]
     )
-    second = permissions.select(
-        *CLIENT_KEY,
-        "client_id",
-        phase.alias("phase"),
-        "type",
-        F.col("permission_id").alias("target_id"),
-        "name",
-        "refs",
+    first = policies.withColumnsRenamed({"policy_id": "target_id"}).withColumns(
+        {"phase": F.lit(fixed.POLICY_PHASE), "type": F.lit(fixed.ROLE_POLICY)}
     )
-    return first.unionByName(second)
+    second = permissions.withColumnsRenamed({"permission_id": "target_id"}).withColumn("phase", phase)
+    return first.select(*columns).unionByName(second.select(*columns))
 
 
 def delete_plan(findings: DataFrame, dry_run: bool = True) -> DataFrame:
@@ -173,7 +160,7 @@ def delete_plan(findings: DataFrame, dry_run: bool = True) -> DataFrame:
 
 
 def finding_log(findings: DataFrame, ts) -> DataFrame:
-    """Findings with their log line; ``ts`` is the column with the time of the run."""
+    """Findings with ``client_id`` get their log line; ``ts`` is when they were found."""
     policy = F.format_string(
         fixed.POLICY_MESSAGE,
         "realm",

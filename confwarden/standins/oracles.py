@@ -106,7 +106,7 @@ _SQL = {
     "scan_clients_pruned": "SELECT client_uuid, client_id FROM client",
     "complete_refs": """
         SELECT CAST(o.o_orderkey AS VARCHAR) AS policy_id, count(l.l_orderkey) AS n_refs
-        FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+        FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
         WHERE o.o_orderstatus <> 'P' GROUP BY 1""",
     "target_realms": """
         SELECT o_orderkey, concat('NATION_', o_custkey % 25) AS realm, CAST(0 AS INTEGER) AS pos

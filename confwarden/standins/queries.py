@@ -73,18 +73,11 @@ def _orphaned(spark, sf, dead):
 
 def _findings(spark, sf):
     """Both kinds of findings, with the first kind landed for the second to read."""
-    folder = work_folder(spark, "findings")
-    dead = land(_dead(spark, sf, "client_id", "name"), f"{folder}/dead_policy")
-    orphaned = _orphaned(spark, sf, dead).select(
-        *CLIENT_KEY,
-        F.lit(None).cast("string").alias("client_id"),
-        F.lit(None).cast("string").alias("name"),
-        F.col("ptype").alias("type"),
-        "permission_id",
-        "refs",
-    )
+    dead = land(_dead(spark, sf, "name"), f"{work_folder(spark, 'findings')}/dead_policy")
+    orphaned = _orphaned(spark, sf, dead).withColumnRenamed("ptype", "type")
     return all_findings(
-        dead.withColumn("policy_id", F.col("policy_id").cast("string")), orphaned
+        dead.withColumn("policy_id", F.col("policy_id").cast("string")),
+        orphaned.withColumn("name", F.element_at(F.split("permission_id", ":"), 2)),
     )
 
 
@@ -156,9 +149,8 @@ def complete_refs(spark, sf):
         F.lit(None).cast("map<string,string>").alias("config"),
         F.transform("role_ids", lambda x: F.struct(x.alias("id"))).alias("roles"),
     )
-    return refs.complete_role_ids(listed, details).select(
-        "policy_id", F.size("role_ids").cast("long").alias("n_refs")
-    )
+    edges = refs.complete_role_refs(listed, details)
+    return edges.groupBy("policy_id").agg(F.count("*").alias("n_refs"))
 
 
 @query
