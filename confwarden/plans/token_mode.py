@@ -23,6 +23,7 @@ from confwarden.functions import (
 )
 from confwarden.operators.clients import (
     CLIENT_KEY,
+    authz_clients,
     drop_reserved,
     expand_targets,
     first_of_name,
@@ -129,10 +130,12 @@ def plan_token_mode(
 ) -> TokenModePlan:
     """Plan the switch to ``mode``; rows that alter nothing are left out unless asked for."""
     value = MODES[mode]
-    tenants = drop_reserved(realms, reserved)
+    tenants = drop_reserved(realms, reserved).select("realm")
     named = drop_reserved(named_by_template(clients, templates), reserved)
-    known = first_of_name(named).join(tenants.select("realm"), "realm", "left_semi")
-    with_authz = known.filter(F.coalesce(F.col("authz_enabled"), F.lit(False)))
+    known = first_of_name(named).join(tenants, "realm", "left_semi")
+    # The same clients without the nested columns, which the policies do not need.
+    flags = first_of_name(named.select("realm", "client_id", "client_uuid", "authz_enabled"))
+    with_authz = authz_clients(flags.join(tenants, "realm", "left_semi"))
     theirs = policies_of_type(policies, fixed.ROLE_POLICY).join(
         with_authz.select(*CLIENT_KEY).distinct(), CLIENT_KEY, "left_semi"
     )

@@ -20,7 +20,9 @@ from confwarden import fixed
 from confwarden.operators.clients import authz_clients, drop_reserved
 
 RESERVED = "NATION_0"
-SCOPE_PRIORITIES = ("1-URGENT", "2-HIGH")
+PERMISSION = "concat_ws(':', o_custkey, o_orderpriority)"
+PERMISSION_TYPE = "if(o_orderpriority IN ('1-URGENT', '2-HIGH'), 'scope', 'resource')"
+POLICY_TYPE = "if(o_orderstatus <> 'P', 'role', 'user')"
 
 
 # Schemas of the tables, so that opening one needs no job to read its footer.
@@ -54,23 +56,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def realms(spark, sf):
-    return table(spark, sf, "nation").select(F.col("n_name").alias("realm"), "n_nationkey")
+    return table(spark, sf, "nation").selectExpr("n_name AS realm", "n_nationkey")
 
 
 def with_realm(df, spark, sf, key):
-    return df.join(realms(spark, sf), F.col(key) == F.col("n_nationkey")).drop("n_nationkey")
+    named = table(spark, sf, "nation").selectExpr("n_name AS realm", f"n_nationkey AS {key}")
+    return df.join(named, key)
 
 
 def clients(spark, sf):
-    segment = F.lower("c_mktsegment")
-    return with_realm(table(spark, sf, "customer"), spark, sf, "c_nationkey").select(
+    return with_realm(table(spark, sf, "customer"), spark, sf, "c_nationkey").selectExpr(
         "realm",
-        F.col("c_custkey").alias("client_uuid"),
-        F.concat(F.lit("c"), F.col("c_custkey"), F.lit("-"), segment).alias("client_id"),
-        (F.col("c_acctbal") > 0).alias("authz_enabled"),
-        segment.alias("segment"),
-        F.col("c_name").alias("label"),
-        F.col("c_acctbal").alias("balance"),
+        "c_custkey AS client_uuid",
+        "concat('c', c_custkey, '-', lower(c_mktsegment)) AS client_id",
+        "c_acctbal > 0 AS authz_enabled",
+        "lower(c_mktsegment) AS segment",
+        "c_name AS label",
+        "c_acctbal AS balance",
     )
 
 
@@ -84,13 +86,11 @@ def _roles(spark, sf, modulus):
     Written as equality of remainders, so that it is a hash join with the realm table and
     not a product.
     """
-    realm = realms(spark, sf).select(
-        "realm", ((modulus - F.col("n_nationkey") % modulus) % modulus).cast("long").alias("left")
+    realm = table(spark, sf, "nation").selectExpr(
+        "n_name AS realm", f"cast(({modulus} - n_nationkey % {modulus}) % {modulus} AS bigint) AS rest"
     )
-    part = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("role_id"), (F.col("p_partkey") % modulus).alias("left")
-    )
-    return part.join(realm, "left").select("realm", "role_id")
+    part = table(spark, sf, "part").selectExpr("p_partkey AS role_id", f"p_partkey % {modulus} AS rest")
+    return part.join(realm, "rest").select("realm", "role_id")
 
 
 def realm_roles(spark, sf):
@@ -101,65 +101,57 @@ def client_roles(spark, sf):
     return _roles(spark, sf, 15)
 
 
-def _orders(spark, sf):
-    return table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("client_uuid"),
-        F.col("o_orderkey").alias("policy_id"),
-        F.col("o_orderpriority").alias("name"),
-        "o_orderstatus",
-        "o_orderdate",
-        "o_totalprice",
-    )
-
-
 def policies(spark, sf):
     """Role policies of clients in scope."""
-    mine = _orders(spark, sf).filter(F.col("o_orderstatus") != "P")
-    return mine.join(scope(spark, sf).select("realm", "client_uuid", "client_id"), "client_uuid")
-
-
-def _lines(spark, sf):
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("policy_id"), F.col("l_partkey").alias("role_id")
+    mine = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").selectExpr(
+        "o_custkey AS client_uuid", "o_orderkey AS policy_id", "o_orderpriority AS name", "o_orderdate"
     )
+    return mine.join(scope(spark, sf).select("realm", "client_uuid", "client_id"), "client_uuid")
 
 
 def refs(spark, sf, *carried):
     """Edges from role policies to roles."""
-    mine = policies(spark, sf).select("realm", "client_uuid", "policy_id", *carried)
-    return mine.join(_lines(spark, sf), "policy_id").select(
+    lines = table(spark, sf, "lineitem").selectExpr("l_orderkey AS policy_id", "l_partkey AS role_id")
+    return policies(spark, sf).join(lines, "policy_id").select(
         "realm", "client_uuid", "policy_id", *carried, "role_id"
     )
 
 
 def assoc(spark, sf):
     """Edges from permissions to policies of every kind."""
-    kind = F.when(F.col("name").isin(*SCOPE_PRIORITIES), "scope").otherwise("resource")
-    return (
-        _orders(spark, sf)
-        .join(scope(spark, sf).select("realm", "client_uuid"), "client_uuid")
-        .select(
-            "realm",
-            "client_uuid",
-            F.concat_ws(":", F.col("client_uuid").cast("string"), "name").alias("permission_id"),
-            kind.alias("ptype"),
-            "policy_id",
-        )
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_custkey AS client_uuid",
+        f"{PERMISSION} AS permission_id",
+        f"{PERMISSION_TYPE} AS ptype",
+        "o_orderkey AS policy_id",
+    )
+    return orders.join(scope(spark, sf).select("realm", "client_uuid"), "client_uuid").select(
+        "realm", "client_uuid", "permission_id", "ptype", "policy_id"
     )
 
 
 # Whole documents -----------------------------------------------------------------
-def _text(name):
-    return F.col(name).cast("string").alias(name)
+def _owned(orders, spark, sf):
+    """Rows of ``orders`` with the realm of their client."""
+    owners = with_realm(table(spark, sf, "customer"), spark, sf, "c_nationkey").selectExpr(
+        "realm", "c_custkey AS o_custkey"
+    )
+    return orders.join(owners, "o_custkey")
 
 
 def client_documents(spark, sf):
-    return clients(spark, sf).select("realm", _text("client_uuid"), "client_id", "authz_enabled")
+    return clients(spark, sf).selectExpr(
+        "realm", "cast(client_uuid AS string) AS client_uuid", "client_id", "authz_enabled"
+    )
 
 
 def role_documents(spark, sf):
     """Realm roles and client roles, as exported: a role of both kinds is there twice."""
-    return realm_roles(spark, sf).unionByName(client_roles(spark, sf)).select("realm", _text("role_id"))
+    return (
+        realm_roles(spark, sf)
+        .unionByName(client_roles(spark, sf))
+        .selectExpr("realm", "cast(role_id AS string) AS role_id")
+    )
 
 
 def policy_documents(spark, sf):
@@ -167,68 +159,52 @@ def policy_documents(spark, sf):
 
     A document is one row by nature; its list is the handful of lines of one order.
     """
-    listed = (
-        _lines(spark, sf)
-        .groupBy("policy_id")
-        .agg(F.to_json(F.collect_list(F.struct(_text("role_id").alias("id")))).alias("roles"))
+    lists = (
+        table(spark, sf, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.expr("to_json(collect_list(struct(cast(l_partkey AS string) AS id))) AS roles"))
     )
-    kind = F.when(F.col("o_orderstatus") != "P", fixed.ROLE_POLICY).otherwise("user")
-    config = F.when(F.col("roles").isNotNull(), F.create_map(F.lit(fixed.ROLES_KEY), "roles"))
     return (
-        _orders(spark, sf)
-        .join(listed, "policy_id", "left")
-        .join(clients(spark, sf).select("realm", "client_uuid"), "client_uuid")
-        .select(
+        _owned(table(spark, sf, "orders"), spark, sf)
+        .join(lists, "o_orderkey", "left")
+        .selectExpr(
             "realm",
-            _text("client_uuid"),
-            _text("policy_id"),
-            "name",
-            kind.alias("type"),
-            config.alias("config"),
+            "cast(o_custkey AS string) AS client_uuid",
+            "cast(o_orderkey AS string) AS policy_id",
+            "o_orderpriority AS name",
+            f"{POLICY_TYPE} AS type",
+            f"if(roles IS NOT NULL, map('{fixed.ROLES_KEY}', roles), NULL) AS config",
         )
     )
 
 
 def permission_documents(spark, sf):
     """Permissions as documents whose lists are empty: associations are in their own table."""
-    kind = F.when(F.col("name").isin(*SCOPE_PRIORITIES), "scope").otherwise("resource")
-    return (
-        _orders(spark, sf)
-        .select("client_uuid", "name")
-        .distinct()
-        .join(clients(spark, sf).select("realm", "client_uuid"), "client_uuid")
-        .select(
-            "realm",
-            _text("client_uuid"),
-            F.concat_ws(":", F.col("client_uuid").cast("string"), "name").alias("policy_id"),
-            "name",
-            kind.alias("type"),
-            F.lit(None).cast("map<string,string>").alias("config"),
-        )
+    named = table(spark, sf, "orders").select("o_custkey", "o_orderpriority").distinct()
+    return _owned(named, spark, sf).selectExpr(
+        "realm",
+        "cast(o_custkey AS string) AS client_uuid",
+        f"{PERMISSION} AS policy_id",
+        "o_orderpriority AS name",
+        f"{PERMISSION_TYPE} AS type",
+        "cast(NULL AS map<string,string>) AS config",
     )
 
 
 def association_documents(spark, sf):
-    return (
-        _orders(spark, sf)
-        .join(clients(spark, sf).select("realm", "client_uuid"), "client_uuid")
-        .select(
-            "realm",
-            _text("client_uuid"),
-            F.concat_ws(":", F.col("client_uuid").cast("string"), "name").alias("permission_id"),
-            _text("policy_id"),
-        )
+    return _owned(table(spark, sf, "orders"), spark, sf).selectExpr(
+        "realm",
+        "cast(o_custkey AS string) AS client_uuid",
+        f"{PERMISSION} AS permission_id",
+        "cast(o_orderkey AS string) AS policy_id",
     )
 
 
 # Clients to migrate ----------------------------------------------------------------
 def _mapper(name, config):
-    return F.struct(
-        F.lit(name).alias("name"),
-        F.lit("openid-connect").alias("protocol"),
-        F.lit("test-mapper").alias("protocol_mapper"),
-        F.lit(False).alias("consent_required"),
-        config.cast("map<string,string>").alias("config"),
+    return (
+        f"struct('{name}' AS name, 'openid-connect' AS protocol, 'test-mapper' AS protocol_mapper, "
+        f"false AS consent_required, cast({config} AS map<string,string>) AS config)"
     )
 
 
@@ -237,23 +213,18 @@ def migration_clients(spark, sf):
 
     Many customers share a name; the balance decides which parts of a client are there.
     """
-    high, low = F.col("balance") > 5000, F.col("balance") < 1000
-    claim = F.create_map(F.lit(fixed.CLAIM_KEY), F.lit("true"))
-    username = _mapper("username", F.when(high, claim))
-    other = _mapper("audience", F.create_map(F.lit("kept"), F.lit("yes")))
-    sub = _mapper("sub", claim)
-    attribute = F.create_map(F.lit(fixed.TOKEN_MODE_ATTRIBUTE), F.lit("true"))
-    return clients(spark, sf).select(
+    claim = f"map('{fixed.CLAIM_KEY}', 'true')"
+    username = _mapper("username", f"if(balance > 5000, {claim}, NULL)")
+    other, sub = _mapper("audience", "map('kept', 'yes')"), _mapper("sub", claim)
+    return clients(spark, sf).selectExpr(
         "realm",
         "client_uuid",
-        F.concat_ws("-", "realm", "segment").alias("client_id"),
+        "concat_ws('-', realm, segment) AS client_id",
         "authz_enabled",
-        F.when(high, attribute)
-        .when(~low, F.create_map(F.lit("owner"), F.col("label")))
-        .alias("attributes"),
-        F.when(high, F.array(username, sub))
-        .when(~low, F.array(username, other))
-        .alias("protocol_mappers"),
+        f"""CASE WHEN balance > 5000 THEN map('{fixed.TOKEN_MODE_ATTRIBUTE}', 'true')
+                 WHEN balance >= 1000 THEN map('owner', label) END AS attributes""",
+        f"""CASE WHEN balance > 5000 THEN array({username}, {sub})
+                 WHEN balance >= 1000 THEN array({username}, {other}) END AS protocol_mappers""",
         "label",
         "segment",
         "balance",
@@ -262,20 +233,12 @@ def migration_clients(spark, sf):
 
 def migration_policies(spark, sf):
     """All orders as policies with a small configuration; dear ones already fetch roles."""
-    kind = F.when(F.col("o_orderstatus") != "P", fixed.ROLE_POLICY).otherwise("user")
-    owner = F.create_map(F.lit("logic"), F.col("o_orderstatus"))
-    dear = F.create_map(
-        F.lit("logic"), F.col("o_orderstatus"), F.lit(fixed.FETCH_ROLES_KEY), F.lit("true")
-    )
-    return (
-        _orders(spark, sf)
-        .join(clients(spark, sf).select("realm", "client_uuid"), "client_uuid")
-        .select(
-            "realm",
-            "client_uuid",
-            "policy_id",
-            "name",
-            kind.alias("type"),
-            F.when(F.col("o_totalprice") > 250000, dear).otherwise(owner).alias("config"),
-        )
+    dear = f"map('logic', o_orderstatus, '{fixed.FETCH_ROLES_KEY}', 'true')"
+    return _owned(table(spark, sf, "orders"), spark, sf).selectExpr(
+        "realm",
+        "o_custkey AS client_uuid",
+        "o_orderkey AS policy_id",
+        "o_orderpriority AS name",
+        f"{POLICY_TYPE} AS type",
+        f"if(o_totalprice > 250000, {dear}, map('logic', o_orderstatus)) AS config",
     )

@@ -174,15 +174,13 @@ def target_realms(spark, sf):
 @query
 def incomplete_exports_(spark, sf):
     """Customers play tenants that announce their orders; orders without lines did not arrive."""
-    orders = e.table(spark, sf, "orders").select(
-        F.col("o_custkey").cast("string").alias("realm"), "o_orderkey"
+    orders = e.table(spark, sf, "orders").selectExpr(
+        "cast(o_custkey AS string) AS realm", "o_custkey AS client_uuid", "o_orderkey AS policy_id"
     )
-    lines = e.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    manifest = orders.groupBy("realm").agg(F.count("*").alias("expected")).select(
-        "realm", F.lit("policy").alias("entity"), "expected"
-    )
-    arrived = orders.join(lines.distinct(), "o_orderkey", "left_semi")
-    return incomplete_exports(manifest, {"policy": arrived})
+    lines = e.table(spark, sf, "lineitem").selectExpr("l_orderkey AS policy_id")
+    manifest = orders.groupBy("realm").agg(F.count("*").alias("expected"))
+    arrived = orders.join(lines, "policy_id", "left_semi")
+    return incomplete_exports(manifest.withColumn("entity", F.lit("policy")), {"policy": arrived})
 
 
 # Filters -------------------------------------------------------------------------

@@ -242,6 +242,15 @@ def test_incomplete_tenant_is_rejected(snapshot, frame):
     assert result.summary.first()["realms_processed"] == 1
 
 
+def test_a_page_twice_does_not_stand_in_for_a_missing_one(snapshot, frame):
+    manifest = frame("manifest", [("r", "client", 1), ("r", "role", 2), ("r", "policy", 1)])
+    policies = [role_policy("r", "c", "p", "gone")]
+    twice = snapshot(policies, roles=[("r", "alive", None)] * 2, manifest=manifest)
+    assert dead(audit(twice)) == []
+    both = snapshot(policies * 2, roles=[("r", "alive", None), ("r", "other", None)], manifest=manifest)
+    assert dead(audit(both)) == ["p"]
+
+
 def test_plan_and_counts(snapshot):
     clients = [("r", "c", "x-application", True), ("r", "d", "y-application", True)]
     policies = [role_policy("r", "c", f"p{n}", "gone") for n in range(5)]
