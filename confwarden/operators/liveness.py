@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confwarden.operators.lookup import lookup
-from confwarden.operators.refs import POLICY_KEY
+from confwarden.operators.refs import PERMISSION_KEY, POLICY_KEY
 from confwarden.operators.roles import ROLE_KEY
 
 
@@ -36,24 +36,22 @@ def ref_counts(refs: DataFrame, roles: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(edges, target):
-    """Everything but the looked-up id identifies the record; ``refs`` if it is carried."""
-    carried = [c for c in edges.columns if c != target]
-    refs = [] if "refs" in carried else [F.count("*").alias("refs")]
-    return carried, refs
+def _refs(edges):
+    """References of a record: what its document says if that is carried, else its edges."""
+    return (F.max("refs") if "refs" in edges.columns else F.count("*")).alias("refs")
 
 
-def dead_policies(refs: DataFrame, roles: DataFrame) -> DataFrame:
+def dead_policies(refs: DataFrame, roles: DataFrame, *carried: str) -> DataFrame:
     """Policies with references of which none is an existing role.
 
-    ``refs`` holds one row per reference plus any columns to carry.  Roles may repeat: a
-    repeated role only multiplies rows of policies that are alive.
+    Grouped by the key alone, so that a policy exported in two versions is dead only if
+    both are; ``carried`` are columns that depend on the key.  Roles may repeat: a repeated
+    role only multiplies rows of policies that are alive.
     """
-    carried, count = _grouped(refs, "role_id")
     return (
         _mark(refs, roles, ROLE_KEY, "found")
-        .groupBy(*carried)
-        .agg(*count, F.count("found").alias("alive"))
+        .groupBy(*POLICY_KEY, *carried)
+        .agg(_refs(refs), F.count("found").alias("alive"))
         .filter(F.col("alive") == 0)
         .drop("alive")
     )
@@ -69,7 +67,9 @@ def clients_with_findings(dead: DataFrame) -> DataFrame:
     return dead.select("realm", "client_uuid").distinct()
 
 
-def dead_permissions(assoc: DataFrame, dead: DataFrame, prune: bool = False) -> DataFrame:
+def dead_permissions(
+    assoc: DataFrame, dead: DataFrame, *carried: str, prune: bool = False
+) -> DataFrame:
     """Permissions with associated policies of which every one is dead.
 
     ``prune`` first drops the clients without any dead policy.  The result is the same;
@@ -79,11 +79,10 @@ def dead_permissions(assoc: DataFrame, dead: DataFrame, prune: bool = False) ->
         assoc = assoc.join(
             clients_with_findings(dead), ["realm", "client_uuid"], "left_semi"
         )
-    carried, count = _grouped(assoc, "policy_id")
     return (
         _mark(assoc, dead, POLICY_KEY, "found")
-        .groupBy(*carried)
-        .agg(*count, F.count_if(F.col("found").isNull()).alias("kept"))
+        .groupBy(*PERMISSION_KEY, *carried)
+        .agg(_refs(assoc), F.count_if(F.col("found").isNull()).alias("kept"))
         .filter(F.col("kept") == 0)
         .drop("kept")
     )

@@ -23,11 +23,12 @@ from confwarden.operators.clients import (
 )
 from confwarden.operators.counts import findings_by_client, run_summary
 from confwarden.operators.liveness import dead_permissions, dead_policies
+from confwarden.operators.lookup import lookup, only_found
 from confwarden.operators.refs import (
+    POLICY_KEY,
     complete_assoc_refs,
     complete_role_refs,
     explode_refs,
-    flatten_policies,
     policies_of_type,
     with_assoc_ids,
     with_role_ids,
@@ -110,9 +111,8 @@ def scope_of(entities: Entities, config: AuditConfig):
 
 def role_edges(policies: DataFrame, clients: DataFrame, details: DataFrame | None = None):
     """References of the role policies of ``clients``."""
-    mine = flatten_policies(policies_of_type(policies, fixed.ROLE_POLICY), "config").join(
-        clients.select(*CLIENT_KEY), CLIENT_KEY, "left_semi"
-    )
+    mine = policies_of_type(policies, fixed.ROLE_POLICY).select(*POLICY_KEY, "config")
+    mine = mine.join(clients.select(*CLIENT_KEY), CLIENT_KEY, "left_semi")
     listed = with_role_ids(mine).drop("config")
     if details is not None:
         return complete_role_refs(listed, details)
@@ -122,8 +122,8 @@ def role_edges(policies: DataFrame, clients: DataFrame, details: DataFrame | Non
 def permission_edges(policies: DataFrame, clients: DataFrame, associations: DataFrame | None = None):
     """Associated policies of the scope and resource permissions of ``clients``."""
     mine = (
-        flatten_policies(policies_of_type(policies, *fixed.PERMISSION_TYPES), "type", "config")
-        .withColumnRenamed("policy_id", "permission_id")
+        policies_of_type(policies, *fixed.PERMISSION_TYPES)
+        .select(*CLIENT_KEY, F.col("policy_id").alias("permission_id"), "type", "config")
         .join(clients.select(*CLIENT_KEY), CLIENT_KEY, "left_semi")
     )
     listed = with_assoc_ids(mine).drop("config")
@@ -134,17 +134,26 @@ def permission_edges(policies: DataFrame, clients: DataFrame, associations: Data
 
 def all_findings(policies: DataFrame, permissions: DataFrame) -> DataFrame:
     """Both kinds of findings in one table, told apart by ``phase``."""
-    columns = [*CLIENT_KEY, "phase", "type", "target_id", "name", "refs"]
+    columns = [*CLIENT_KEY, "phase", "type", "target_id", "refs"]
     phase = F.when(F.col("type") == "scope", fixed.PERMISSION_PHASES["scope"]).otherwise(
         fixed.PERMISSION_PHASES["resource"]
     )
-    first = policies.withColumnsRenamed({"policy_id": "target_id"}).withColumns(
+    first = policies.withColumnRenamed("policy_id", "target_id").withColumns(
         {"phase": F.lit(fixed.POLICY_PHASE), "type": F.lit(fixed.ROLE_POLICY)}
     )
-    second = permissions.withColumnsRenamed({"permission_id": "target_id"}).withColumn("phase", phase)
+    second = permissions.withColumnRenamed("permission_id", "target_id").withColumn("phase", phase)
     return first.select(*columns).unionByName(second.select(*columns))
 
 
+def with_names(findings: DataFrame, policies: DataFrame, clients: DataFrame) -> DataFrame:
+    """Findings with ``name`` and ``client_id``, which the search does not carry along."""
+    key = [*CLIENT_KEY, "target_id"]
+    named = policies.select(*CLIENT_KEY, F.col("policy_id").alias("target_id"), "name")
+    # Only names of findings are kept, and of two versions the first.
+    names = only_found(named, findings.select(*key), key).groupBy(*key).agg(F.min("name").alias("name"))
+    return lookup(findings.join(names, key, "left"), clients.select(*CLIENT_KEY, "client_id"), CLIENT_KEY)
+
+
 def delete_plan(findings: DataFrame, dry_run: bool = True) -> DataFrame:
     """Findings as plan rows; in a dry run they are the same rows, marked not to apply."""
     return findings.select(
@@ -160,7 +169,7 @@ def delete_plan(findings: DataFrame, dry_run: bool = True) -> DataFrame:
 
 
 def finding_log(findings: DataFrame, ts) -> DataFrame:
-    """Findings with ``client_id`` get their log line; ``ts`` is when they were found."""
+    """Findings with names get their log line; ``ts`` is when they were found."""
     policy = F.format_string(
         fixed.POLICY_MESSAGE,
         "realm",
@@ -197,18 +206,22 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
     )
     orphaned = land(
         dead_permissions(
-            permission_edges(entities.policies, clients, entities.associations), dead, prune=True
+            permission_edges(entities.policies, clients, entities.associations),
+            dead,
+            "type",
+            prune=True,
         ),
         f"{folder}/dead_permission",
     )
     findings = all_findings(dead, orphaned)
+    named = with_names(findings, entities.policies, clients)
     group = [*CLIENT_KEY, "phase"]
     return AuditResult(
         realms=realms,
         clients=clients,
         dead_policies=dead,
         dead_permissions=orphaned,
-        findings=findings,
+        findings=named,
         counts=findings_by_client(clients, findings),
         plan=number_batches(
             delete_plan(findings, config.dry_run), group, "target_id", config.batch_size

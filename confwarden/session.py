@@ -12,12 +12,15 @@ def build_session(app="confwarden", master=None, **conf):
     Shuffle partitions start high and adaptive execution merges small ones; the same
     mechanism splits skewed join partitions and turns joins into broadcasts once the
     real size of a side is known.  The broadcast limit stays at Spark's own default.
+    Where every partition of a shuffled side is measured to be small, the join hashes it
+    and the large side need not be sorted.
     """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         **conf,
     }
     builder = SparkSession.builder.appName(app)

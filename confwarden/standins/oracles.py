@@ -79,9 +79,9 @@ FROM known
 """
 
 HOLED = """
-SELECT l_orderkey AS policy_id,
-       count(*) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'O') AS n_refs
-FROM lineitem GROUP BY 1
+SELECT l_orderkey AS policy_id, l_linenumber,
+       CAST(l_returnflag <> 'R' AS BIGINT) + CAST(l_linestatus <> 'O' AS BIGINT) AS n_refs
+FROM lineitem
 """
 
 _SQL = {
@@ -126,7 +126,7 @@ _SQL = {
     "split_authz_enabled": """
         SELECT client_uuid, CASE WHEN authz_enabled THEN 'process' ELSE 'skipped' END AS status FROM client""",
     "clean_refs": HOLED,
-    "has_refs": f"SELECT policy_id FROM ({HOLED}) WHERE n_refs > 0",
+    "has_refs": f"SELECT policy_id, l_linenumber FROM ({HOLED}) WHERE n_refs > 0",
     "needs_patch": "SELECT client_uuid FROM client WHERE segment <> 'building'",
     "clients_with_findings": "SELECT DISTINCT realm, client_uuid FROM dead",
     # Projections and nested edits

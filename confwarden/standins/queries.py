@@ -64,20 +64,19 @@ def _catalogue(spark, sf):
 
 
 def _dead(spark, sf, *carried):
-    return liveness.dead_policies(e.refs(spark, sf, *carried), _all_roles(spark, sf))
+    return liveness.dead_policies(e.refs(spark, sf, *carried), _all_roles(spark, sf), *carried)
 
 
 def _orphaned(spark, sf, dead):
-    return liveness.dead_permissions(e.assoc(spark, sf), dead)
+    return liveness.dead_permissions(e.assoc(spark, sf), dead, "ptype")
 
 
 def _findings(spark, sf):
     """Both kinds of findings, with the first kind landed for the second to read."""
-    dead = land(_dead(spark, sf, "name"), f"{work_folder(spark, 'findings')}/dead_policy")
+    dead = land(_dead(spark, sf), f"{work_folder(spark, 'findings')}/dead_policy")
     orphaned = _orphaned(spark, sf, dead).withColumnRenamed("ptype", "type")
     return all_findings(
-        dead.withColumn("policy_id", F.col("policy_id").cast("string")),
-        orphaned.withColumn("name", F.element_at(F.split("permission_id", ":"), 2)),
+        dead.withColumn("policy_id", F.col("policy_id").cast("string")), orphaned
     )
 
 
@@ -130,24 +129,23 @@ def scan_clients_pruned(spark, sf):
 
 @query
 def complete_refs(spark, sf):
-    """Open orders come without a list and take it from the detail record."""
-    documents = e.policy_documents(spark, sf).filter(F.col("type") == fixed.ROLE_POLICY)
-    text = F.col("config").getItem(fixed.ROLES_KEY)
-    status = e.table(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("policy_id"), "o_orderstatus"
-    )
-    whole = documents.join(status, "policy_id").withColumn("role_ids", decode_role_ids(text))
-    open_order = F.col("o_orderstatus") == "O"
-    listed = whole.select(
-        *refs.POLICY_KEY,
-        F.when(open_order, F.array().cast("array<string>"))
-        .otherwise(F.col("role_ids"))
-        .alias("role_ids"),
+    """Open orders come without a list, which is in the detail record.
+
+    The documents are landed first, as an export would be.
+    """
+    folder = work_folder(spark, "details")
+    documents = land(e.policy_documents(spark, sf), f"{folder}/policy")
+    status = e.table(spark, sf, "orders").selectExpr(
+        "cast(o_orderkey AS string) AS policy_id", "o_orderstatus = 'O' AS open"
+    )
+    whole = refs.with_role_ids(
+        refs.policies_of_type(documents, fixed.ROLE_POLICY).join(status, "policy_id")
     )
-    details = whole.filter(open_order).select(
+    listed = whole.selectExpr(*refs.POLICY_KEY, "if(open, cast(array() AS array<string>), role_ids) AS role_ids")
+    details = whole.filter("open").selectExpr(
         *refs.POLICY_KEY,
-        F.lit(None).cast("map<string,string>").alias("config"),
-        F.transform("role_ids", lambda x: F.struct(x.alias("id"))).alias("roles"),
+        "cast(NULL AS map<string,string>) AS config",
+        "transform(role_ids, x -> struct(x AS id)) AS roles",
     )
     edges = refs.complete_role_refs(listed, details)
     return edges.groupBy("policy_id").agg(F.count("*").alias("n_refs"))
@@ -205,29 +203,27 @@ def split_authz_enabled(spark, sf):
 
 
 def _holed_refs(spark, sf):
-    """References as lists in which returned lines are null ids and open ones empty ids."""
-    lines = e.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("policy_id"),
-        F.when(F.col("l_returnflag") == "R", None)
-        .when(F.col("l_linestatus") == "O", "")
-        .otherwise(F.col("l_partkey").cast("string"))
-        .alias("id"),
+    """A list per line, in which the part of a returned line is null and an open line's
+    supplier empty."""
+    return e.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS policy_id",
+        "l_linenumber",
+        """array(if(l_returnflag = 'R', NULL, cast(l_partkey AS string)),
+                 if(l_linestatus = 'O', '', cast(l_suppkey AS string))) AS ids""",
     )
-    boxed = F.collect_list(F.struct("id"))
-    return lines.groupBy("policy_id").agg(F.transform(boxed, lambda b: b["id"]).alias("ids"))
 
 
 @query
 def clean_refs(spark, sf):
     return _holed_refs(spark, sf).select(
-        "policy_id", F.size(clean_ids(F.col("ids"))).cast("long").alias("n_refs")
+        "policy_id", "l_linenumber", F.size(clean_ids(F.col("ids"))).cast("long").alias("n_refs")
     )
 
 
 @query
 def has_refs(spark, sf):
     cleaned = _holed_refs(spark, sf).withColumn("role_ids", clean_ids(F.col("ids")))
-    return refs.has_refs(cleaned).select("policy_id")
+    return refs.has_refs(cleaned).select("policy_id", "l_linenumber")
 
 
 @query
@@ -518,7 +514,7 @@ def page_of_policies(spark, sf):
 @query
 def finding_log_(spark, sf):
     dead = _dead(spark, sf, "client_id", "name", "o_orderdate")
-    found = dead.select("*", F.lit("1").alias("phase"), F.lit("role").alias("type"), F.col("policy_id").alias("target_id"))
+    found = dead.selectExpr("*", "'1' AS phase", "'role' AS type", "policy_id AS target_id")
     return finding_log(found, F.col("o_orderdate")).select("policy_id", "msg")
 
 

@@ -121,7 +121,7 @@ def stream_dead_permissions(
         pages,
         fixed.PERMISSION_TYPES,
         lambda page: dead_permissions(
-            permission_edges(page, clients, associations), dead, prune=True
+            permission_edges(page, clients, associations), dead, "type", prune=True
         ),
         "dead_permission",
         folder,

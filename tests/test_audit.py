@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from confwarden.operators.clients import drop_reserved, matching_clients, pending, split_by_authz
 from confwarden.operators.counts import findings_by_client
 from confwarden.plans import AuditConfig, Entities, audit, commit_audit
+from confwarden.plans.audit import finding_log
 from conftest import rows
 
 
@@ -184,6 +185,24 @@ def test_page_exported_twice(snapshot):
     assert rows(result.dead_permissions, "permission_id", "refs") == [("x", 1)]
 
 
+def test_two_versions_of_a_policy(snapshot):
+    """Pages of one export may straddle an edit: what is alive in either version stays."""
+    versions = [role_policy("r", "c", "p", "gone"), role_policy("r", "c", "p", "gone", "alive")]
+    pages = [*versions, role_policy("r", "c", "q", "gone"), permission("r", "c", "x", "p", "q")]
+    result = audit(snapshot([*pages, permission("r", "c", "y", "q"), permission("r", "c", "y", "p", "q")]))
+    assert dead(result) == ["q"]
+    assert orphaned(result) == []
+
+
+def test_findings_are_named(snapshot):
+    found = audit(snapshot([role_policy("r", "c", "p", "gone"), permission("r", "c", "x", "p")]))
+    log = finding_log(found.findings, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    assert rows(log, "msg") == [
+        ("2024-01-01T00:00:00Z [INFO]   [r/x-application] dead role-policy: policy p (p) refs=1",),
+        ("2024-01-01T00:00:00Z [INFO]   [r/x-application] dead scope permission: permission x (x)",),
+    ]
+
+
 def test_scope(snapshot):
     clients = [
         ("r", "yes", "x-application", True),

@@ -89,15 +89,15 @@ def test_hot_role_is_split(spark):
     dead = sorted((p, len(ids)) for p, ids in found.items() if not any(map(is_known, ids)))
     with large_tables(spark):
         df = dead_policies(edges(spark), realm_roles.unionByName(client_roles))
-        assert "SortMergeJoin(skew=true)" in final_plan(df)
+        assert "Join(skew=true)" in final_plan(df)
         assert sorted((r.policy_id, r.refs) for r in df.collect()) == dead
         catalogue = role_catalogue(realm_roles, client_roles)
         df = ref_liveness(edges(spark), catalogue)
-        assert "SortMergeJoin(skew=true)" in final_plan(df)
+        assert "Join(skew=true)" in final_plan(df)
         assert df.count() == ROWS
         assert df.filter("alive").count() == sum(is_known(i) for ids in found.values() for i in ids)
         df = ref_counts(edges(spark), catalogue)
-        assert "SortMergeJoin(skew=true)" in final_plan(df)
+        assert "Join(skew=true)" in final_plan(df)
         counted = {r.policy_id: (r.total, r.alive) for r in df.collect()}
         assert counted == {p: (len(ids), sum(map(is_known, ids))) for p, ids in found.items()}
 
@@ -114,7 +114,7 @@ def test_hot_policy_is_split(spark):
     with large_tables(spark):
         dead = dead_policies(edges(spark), realm_roles.unionByName(client_roles))
         df = dead_permissions(assoc, dead)
-        assert "SortMergeJoin(skew=true)" in final_plan(df)
+        assert "Join(skew=true)" in final_plan(df)
         gone = {r.policy_id for r in dead.collect()}
         found = defaultdict(list)
         for r in assoc.collect():
@@ -133,7 +133,7 @@ def test_hot_session_is_split(spark):
     )
     with large_tables(spark):
         df = sticky_flag(requests, "session", ["id"], F.col("asked"))
-        assert "SortMergeJoin(skew=true)" in final_plan(df)
+        assert "Join(skew=true)" in final_plan(df)
         seen, expected = set(), {}
         for r in sorted(requests.collect(), key=lambda r: r.id):
             if r.asked:
@@ -151,7 +151,7 @@ def test_hot_name_is_split(spark):
     targets = clients.select("realm", "client_id").distinct()
     with large_tables(spark):
         df = lookup_client(targets, clients)
-        assert "SortMergeJoin(skew=true)" in final_plan(df)
+        assert "Join(skew=true)" in final_plan(df)
         found = {}
         for r in clients.collect():
             found[r.client_id] = min(r.client_uuid, found.get(r.client_id, r.client_uuid))

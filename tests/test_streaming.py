@@ -95,7 +95,7 @@ def test_permissions_after_policies(spark, known, folder):
     )
     whole = spark.createDataFrame([tuple(d.values()) for d in documents + permissions], schemas.POLICY)
     batch_dead = dead_policies(role_edges(whole, clients), roles)
-    batch = dead_permissions(permission_edges(whole, clients), batch_dead)
+    batch = dead_permissions(permission_edges(whole, clients), batch_dead, "type")
     columns = ("client_uuid", "permission_id", "type", "refs")
     assert rows(found, *columns) == rows(batch, *columns) != []
 
