@@ -85,7 +85,7 @@ class AuditResult:
     rejected: DataFrame | None = None
 
 
-def scope_of(entities: Entities, config: AuditConfig):
+def scope_of(entities: Entities, config: AuditConfig, folder: str):
     """Tenants and clients this run looks at."""
     targets = target_list(config.tenants)
     realms = drop_reserved(only_targets(entities.realms, targets), config.reserved)
@@ -98,7 +98,7 @@ def scope_of(entities: Entities, config: AuditConfig):
             "policy": entities.policies,
         }
         rejected = incomplete_exports(entities.manifest, delivered)
-        realms = complete_realms(realms, entities.manifest, delivered)
+        realms = land(complete_realms(realms, entities.manifest, delivered), f"{folder}/realm")
         clients = clients.join(realms.select("realm"), "realm", "left_semi")
     if entities.ledger is not None:
         done = entities.ledger.filter(F.col("status") == "done")
@@ -197,8 +197,7 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
         raise ValueError("the export lists no tenants")
     folder = folder or work_folder(spark, "audit")
 
-    realms, clients, rejected = scope_of(entities, config)
-    realms = land(realms.select("realm"), f"{folder}/realm")
+    realms, clients, rejected = scope_of(entities, config, folder)
     clients = land(clients, f"{folder}/client")
     dead = land(
         dead_policies(role_edges(entities.policies, clients, entities.details), entities.roles),

@@ -7,9 +7,9 @@ import time
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 
 import duckdb  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
-from confwarden.session import build_session  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -59,9 +59,14 @@ def compare(spark, con, name, sf):
 
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    session = build_session(
-        master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+    # A plain session: no query may depend on the settings of build_session.
+    session = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "8g")
+        .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
