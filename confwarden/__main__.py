@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from confwarden import fixed, schemas
+from confwarden.operators.counts import outcomes_by_path
 from confwarden.plans import AuditConfig, Entities, audit, commit_audit, ensure_clients, plan_token_mode
 from confwarden.session import build_session
 from confwarden.sinks import write_plan
@@ -46,6 +47,7 @@ def run_audit(spark, args):
     entity = _reader(spark, args)
     run_id = args.run_id or uuid.uuid4().hex
     ledger = f"{args.out}/ledger"
+    attempts = entity("outcome", required=False)
     result = audit(
         Entities(
             realms=entity("realm"),
@@ -56,6 +58,7 @@ def run_audit(spark, args):
             associations=entity("permission_assoc", required=False),
             manifest=entity("manifest", required=False),
             ledger=_ledger(spark, ledger),
+            outcomes=outcomes_by_path(attempts) if attempts is not None else None,
         ),
         AuditConfig(args.pattern, args.tenants, args.reserved, args.batch_size, not args.apply),
         folder=f"{args.out}/run-{run_id}",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confwarden import fixed
+from confwarden.functions import final_outcome
 from confwarden.operators.clients import CLIENT_KEY
 
 
@@ -29,6 +30,14 @@ def policies_per_client(clients: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
+def outcomes_by_path(attempts: DataFrame) -> DataFrame:
+    """What became of each path after all attempts on it: one success is enough."""
+    done = F.bool_or(final_outcome(F.col("http_code")) == "OK")
+    return attempts.groupBy("resource_path").agg(
+        F.when(done, "OK").otherwise("FAIL").alias("outcome")
+    )
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
 

@@ -12,7 +12,7 @@ refers to; the lookup join is built for that, and the grouping after it has anot
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confwarden.operators.lookup import lookup
+from confwarden.operators.lookup import lookup, only_found
 from confwarden.operators.refs import PERMISSION_KEY, POLICY_KEY
 from confwarden.operators.roles import ROLE_KEY
 
@@ -76,9 +76,7 @@ def dead_permissions(
     it pays when few clients have findings and ``dead`` is a written table.
     """
     if prune:
-        assoc = assoc.join(
-            clients_with_findings(dead), ["realm", "client_uuid"], "left_semi"
-        )
+        assoc = only_found(assoc, clients_with_findings(dead), ["realm", "client_uuid"])
     return (
         _mark(assoc, dead, POLICY_KEY, "found")
         .groupBy(*PERMISSION_KEY, *carried)

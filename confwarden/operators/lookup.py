@@ -31,5 +31,6 @@ def lookup(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
 
 
 def only_found(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key is in ``found``, by the same kind of join."""
+    """The rows whose key is in ``found``, by the same kind of join: one client may own a
+    third of all policies."""
     return _join(rows, found, key, "left_semi")

@@ -57,7 +57,7 @@ class Entities:
 
     ``details`` and ``associations`` complete records whose lists are empty; ``manifest``
     announces row counts per tenant; ``ledger`` says what earlier runs have done;
-    ``outcomes`` what became of the rows of an applied plan.
+    ``outcomes`` what became of the paths of an applied plan.
     """
 
     realms: DataFrame
@@ -112,7 +112,7 @@ def scope_of(entities: Entities, config: AuditConfig, folder: str):
 def role_edges(policies: DataFrame, clients: DataFrame, details: DataFrame | None = None):
     """References of the role policies of ``clients``."""
     mine = policies_of_type(policies, fixed.ROLE_POLICY).select(*POLICY_KEY, "config")
-    mine = mine.join(clients.select(*CLIENT_KEY), CLIENT_KEY, "left_semi")
+    mine = only_found(mine, clients.select(*CLIENT_KEY), CLIENT_KEY)
     listed = with_role_ids(mine).drop("config")
     if details is not None:
         return complete_role_refs(listed, details)
@@ -121,11 +121,10 @@ def role_edges(policies: DataFrame, clients: DataFrame, details: DataFrame | Non
 
 def permission_edges(policies: DataFrame, clients: DataFrame, associations: DataFrame | None = None):
     """Associated policies of the scope and resource permissions of ``clients``."""
-    mine = (
-        policies_of_type(policies, *fixed.PERMISSION_TYPES)
-        .select(*CLIENT_KEY, F.col("policy_id").alias("permission_id"), "type", "config")
-        .join(clients.select(*CLIENT_KEY), CLIENT_KEY, "left_semi")
+    mine = policies_of_type(policies, *fixed.PERMISSION_TYPES).select(
+        *CLIENT_KEY, F.col("policy_id").alias("permission_id"), "type", "config"
     )
+    mine = only_found(mine, clients.select(*CLIENT_KEY), CLIENT_KEY)
     listed = with_assoc_ids(mine).drop("config")
     if associations is not None:
         return complete_assoc_refs(listed, associations)

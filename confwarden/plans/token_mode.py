@@ -31,6 +31,7 @@ from confwarden.operators.clients import (
     named_by_template,
     split_by_authz,
 )
+from confwarden.operators.lookup import only_found
 from confwarden.operators.refs import policies_of_type
 
 MODES = {"lightweight": "true", "regular": "false"}
@@ -136,8 +137,8 @@ def plan_token_mode(
     # The same clients without the nested columns, which the policies do not need.
     flags = first_of_name(named.select("realm", "client_id", "client_uuid", "authz_enabled"))
     with_authz = authz_clients(flags.join(tenants, "realm", "left_semi"))
-    theirs = policies_of_type(policies, fixed.ROLE_POLICY).join(
-        with_authz.select(*CLIENT_KEY).distinct(), CLIENT_KEY, "left_semi"
+    theirs = only_found(
+        policies_of_type(policies, fixed.ROLE_POLICY), with_authz.select(*CLIENT_KEY), CLIENT_KEY
     )
     keep = F.lit(True) if unchanged else F.col("changed")
     return TokenModePlan(

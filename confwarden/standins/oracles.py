@@ -277,7 +277,8 @@ _SQL = {
         SELECT (SELECT count(*) FROM realm WHERE realm <> 'NATION_0') AS realms_processed,
                (SELECT count(*) FROM audited) AS clients_checked,
                (SELECT count(*) FROM dead WHERE client_uuid IN (SELECT client_uuid FROM audited)) AS dead_policies,
-               (SELECT count(*) FROM deadperm WHERE client_uuid IN (SELECT client_uuid FROM audited)) AS dead_permissions,
+               (SELECT count(*) FROM deadperm
+                WHERE client_uuid IN (SELECT client_uuid FROM audited)) AS dead_permissions,
                ok AS deleted, fail AS delete_failures
         FROM tally""",
     "audit_plan": """

@@ -12,7 +12,6 @@ from confwarden.functions import (
     clean_ids,
     cursor_text,
     decode_assoc_ids,
-    decode_role_ids,
     final_outcome,
     http_outcome,
     map_upsert,
@@ -177,7 +176,7 @@ def incomplete_exports_(spark, sf):
     )
     lines = e.table(spark, sf, "lineitem").selectExpr("l_orderkey AS policy_id")
     manifest = orders.groupBy("realm").agg(F.count("*").alias("expected"))
-    arrived = orders.join(lines, "policy_id", "left_semi")
+    arrived = orders.join(lines.distinct(), "policy_id", "left_semi")
     return incomplete_exports(manifest.withColumn("entity", F.lit("policy")), {"policy": arrived})
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confwarden.operators.clients import drop_reserved, matching_clients, pending, split_by_authz
-from confwarden.operators.counts import findings_by_client
+from confwarden.operators.counts import findings_by_client, outcomes_by_path
 from confwarden.plans import AuditConfig, Entities, audit, commit_audit
 from confwarden.plans.audit import finding_log
 from conftest import rows
@@ -294,6 +294,14 @@ def test_plan_and_counts(snapshot):
     assert {r.apply for r in applied.plan.collect()} == {True}
 
 
+def test_outcomes_of_an_applied_plan(snapshot, frame):
+    attempts = frame("outcome", [("/a", 503), ("/a", 204), ("/b", 404), ("/c", 401), ("/c", 503), ("/d", 400)])
+    outcomes = outcomes_by_path(attempts)
+    assert rows(outcomes, "resource_path", "outcome") == [("/a", "OK"), ("/b", "OK"), ("/c", "FAIL"), ("/d", "FAIL")]
+    result = audit(snapshot([role_policy("r", "c", "p", "gone")], outcomes=outcomes))
+    assert tuple(result.summary.first()) == (1, 1, 1, 0, 2, 2)
+
+
 def test_second_run_does_nothing(spark, snapshot, folder):
     policies = [role_policy("r", "c", "p", "gone"), permission("r", "c", "x", "p")]
     at = F.lit("2024-01-01 00:00:00")

@@ -11,7 +11,7 @@ from __spark_entry__ import queries
 from confwarden.operators.batches import number_batches
 from confwarden.operators.clients import lookup_client
 from confwarden.operators.liveness import dead_permissions, dead_policies, ref_counts, ref_liveness
-from confwarden.operators.lookup import lookup
+from confwarden.operators.lookup import lookup, only_found
 from confwarden.operators.roles import role_catalogue
 from confwarden.operators.sticky import sticky_flag
 from conftest import rows
@@ -125,6 +125,19 @@ def test_hot_policy_is_split(spark):
         assert sorted((r.permission_id, r.refs) for r in pruned.collect()) == expected
 
 
+def test_hot_client_is_split(spark):
+    """A third of all policies is one client's, and the clients looked for are a grouping."""
+    policies = spark.range(0, ROWS, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 3000).alias("client_uuid"), "id"
+    )
+    clients = policies.filter("client_uuid % 2 = 0").select("client_uuid").distinct()
+    with large_tables(spark):
+        df = only_found(policies, clients, ["client_uuid"])
+        assert "Join(skew=true)" in final_plan(df)
+        expected = [r.id for r in policies.collect() if r.client_uuid % 2 == 0]
+        assert sorted(r.id for r in df.collect()) == sorted(expected)
+
+
 def test_hot_session_is_split(spark):
     requests = spark.range(0, ROWS, numPartitions=8).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("session"),
