@@ -1,6 +1,7 @@
 """Streams: over any split of the same pages they find what the batch finds."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,13 +23,18 @@ from conftest import rows
 
 def page(folder, number, documents):
     """One exported page: a JSON array on one line."""
-    import os
-
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/page-{number}.json", "w") as out:
         out.write(json.dumps(documents) + "\n")
 
 
+def forget_last_commit(checkpoint):
+    """As if the query had stopped after its last batch wrote, before that was recorded."""
+    last = max(int(n) for n in os.listdir(f"{checkpoint}/commits") if n.isdigit())
+    os.remove(f"{checkpoint}/commits/{last}")
+    os.remove(f"{checkpoint}/commits/.{last}.crc")
+
+
 def policy(number, *ids, kind="role"):
     key = "roles" if kind == "role" else "applyPolicies"
     listed = [{"id": i} for i in ids]
@@ -78,6 +84,23 @@ def test_policy_pages_in_several_runs(spark, known, folder):
     ]
 
 
+def test_replayed_batch_repeats_nothing(spark, known, folder):
+    clients, roles = known
+
+    def run():
+        stream = page_stream(spark, "policy", f"{folder}/pages", files_per_batch=1)
+        found = stream_dead_policies(stream, clients, roles, folder, "run-1")
+        ledger = read_batches(spark, f"{folder}/ledger/dead_policy", schemas.RUN_LEDGER)
+        return found.count(), spark.read.parquet(f"{folder}/dead_policy").count(), rows(cursors(ledger), "cursor")
+
+    for number in range(3):
+        page(f"{folder}/pages", number, [policy(10 * number + n, "gone") for n in range(4)])
+    first = run()
+    assert first == (12, 12, [("phase=1;offset=6",), ("phase=1;offset=6",)])
+    forget_last_commit(f"{folder}/checkpoints/dead_policy")
+    assert run() == first
+
+
 def test_permissions_after_policies(spark, known, folder):
     clients, roles = known
     documents = [policy(n, f"role{n}") for n in range(12)]
@@ -109,8 +132,6 @@ def test_unreadable_page_fails_and_leaves_no_trace(spark, known, folder):
         stream_dead_policies(
             page_stream(spark, "policy", f"{folder}/pages"), clients, roles, folder, "run-1"
         )
-    import os
-
     assert not os.path.exists(f"{folder}/ledger/dead_policy/batch_id=0/_SUCCESS")
 
 
@@ -153,3 +174,5 @@ def test_sticky_flag_in_order_of_arrival(spark, folder):
     batch = sticky_flag(stored, "session", ["at"], F.col("flag_in"))
     assert rows(streamed, "session", "at", "flag") == rows(batch, "session", "at", "flag")
     assert rows(run(), "session", "at", "flag") == rows(streamed, "session", "at", "flag")
+    forget_last_commit(f"{folder}/sticky/checkpoint")
+    assert rows(run(), "session", "at", "flag") == rows(batch, "session", "at", "flag")
