@@ -24,8 +24,8 @@ def lookup(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     sits on two shuffles of its own, and if no later step relies on how the join leaves
     its output partitioned.  Both are seen to by adding a digest of the key: a ``found``
     that was just grouped by the key is shuffled once more, and so is a result that is
-    grouped by it.  The digest comes first: a number that nearly always differs sorts much
-    faster than tenant names, which have few values and often one prefix.
+    grouped by it.  The digest comes first: a number that nearly always differs is cheaper to
+    compare than tenant names, which have few values and often one prefix.
     """
     return _join(rows, found, key, "left")
 
