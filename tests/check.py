@@ -71,7 +71,7 @@ if __name__ == "__main__":
     session.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     bad = 0
-    for name in sys.argv[2:] or queries():
+    for name in sys.argv[2:] or oracle_sql():
         try:
             took, n, problems = compare(session, con, name, sf)
         except Exception as error:  # noqa: BLE001
