@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from confwarden.llm import words as w
+
 # The marks of the chat template.
 START, END = "<|im_start|>", "<|im_end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -172,7 +174,7 @@ def read_turns(formatted):
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in w.slices(batches, 2):
         rows = []
         for formatted, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             turns = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in read_turns(formatted)).encode("utf-8", "surrogatepass"))

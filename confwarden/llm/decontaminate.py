@@ -134,7 +134,7 @@ class Block:
 def _search(shared):
     def run(batches):
         block = Block(*shared.value)
-        for batch in batches:
+        for batch in w.slices(batches, 1):
             found = [
                 (i, *m) for i, text in enumerate(w.texts(batch.column(1))) for m in block.matches(text)
             ]
@@ -198,7 +198,7 @@ def drop_contaminated(spark, docs, benchmark, k=5, least=0.8, radius=18, block_b
     def without(shared):
         def run(batches):
             block = Block(*shared.value)
-            for batch in batches:
+            for batch in w.slices(batches, at):
                 clean = [not block.matches(text) for text in w.texts(batch.column(at))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

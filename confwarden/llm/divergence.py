@@ -99,7 +99,7 @@ def _count(batches):
             [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "kind", "item", "n"]
         )
 
-    for batch in batches:
+    for batch in w.slices(batches, 1):
         for lang, text in zip(batch.column(0).to_pylist(), w.texts(batch.column(1)), strict=True):
             words = common_form(text)
             mine = counts[lang, 0]
@@ -186,7 +186,7 @@ class References:
 def _judge(found, rules):
     def run(batches):
         references = References(found)
-        for batch in batches:
+        for batch in w.slices(batches, 2):
             rows = []
             for lang, text in zip(batch.column(1).to_pylist(), w.texts(batch.column(2)), strict=True):
                 base = base_counts(text)
@@ -249,7 +249,7 @@ def keep_quality(docs, references=None, id_col="doc_id", lang_col="lang", text_c
     judge = _judge(found, {**DEFAULTS, **rules})
 
     def run(batches):
-        for batch in batches:
+        for batch in w.slices(batches, text_at):
             lang = batch.column(lang_at).cast(pa.string())
             own = pa.RecordBatch.from_arrays(
                 [pa.nulls(batch.num_rows, pa.int64()), lang, batch.column(text_at)], ["id", "lang", "text"]

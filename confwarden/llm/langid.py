@@ -49,7 +49,7 @@ def features(text):
 def _train(batches):
     """Counts by language, summed over the task; a row for each language and filled bucket."""
     sums = {}
-    for batch in batches:
+    for batch in w.slices(batches, 1):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             at, n = features(text)
             if lang not in sums:
@@ -150,7 +150,7 @@ def _predict(model, penalty):
     names, table = model.value
 
     def run(batches):
-        for batch in batches:
+        for batch in w.slices(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 at, counts = features(text)

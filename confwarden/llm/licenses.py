@@ -158,7 +158,7 @@ SCHEMA = (
 def _scan_all(least, full, gap):
     def run(batches):
         automaton, sizes = _compiled()
-        for batch in batches:
+        for batch in w.slices(batches, 1):
             rows = []
             for text in w.texts(batch.column(1)):
                 words = license_words(text)

@@ -57,7 +57,7 @@ def word_set(text, k):
 def _sketches(k, bands, rows):
     def run(batches):
         order = donors(bands * rows)
-        for batch in batches:
+        for batch in w.slices(batches, 1):
             sizes, digests, keys = [], [], []
             for text in w.texts(batch.column(1)):
                 s = word_set(text, k)
@@ -80,7 +80,7 @@ def _sketches(k, bands, rows):
 
 def _sets(k):
     def run(batches):
-        for batch in batches:
+        for batch in w.slices(batches, 1):
             sets = [word_set(t, k).tobytes() for t in w.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "members"]
@@ -91,7 +91,7 @@ def _sets(k):
 
 def _confirm(percent):
     def run(batches):
-        for batch in batches:
+        for batch in w.slices(batches, 2, 3):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

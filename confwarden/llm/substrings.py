@@ -39,7 +39,7 @@ def _anchors(length, whole):
     """All anchors of a text; ``whole``: with contexts and places, else the anchors alone."""
 
     def run(batches):
-        for batch in batches:
+        for batch in w.slices(batches, 1):
             found = [anchors(w.hashes(t.split()), length) for t in w.texts(batch.column(1))]
             if not found:
                 continue
@@ -61,7 +61,7 @@ def _windows(length):
     """The windows of the runs that come with a text, by two hashes and place."""
 
     def run(batches):
-        for batch in batches:
+        for batch in w.slices(batches, 1):
             one, two, rows, starts = [], [], [], []
             runs = batch.column(2).to_pylist()
             for i, text in enumerate(w.texts(batch.column(1))):
@@ -99,7 +99,7 @@ def merged(spans):
 
 def _kept(length):
     def run(batches):
-        for batch in batches:
+        for batch in w.slices(batches, 1):
             sizes, removed, digests, repeats = [], [], [], []
             for text, starts in zip(w.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = text.split()

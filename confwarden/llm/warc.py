@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
+from confwarden.llm import words as w
 from confwarden.session import land, work_folder
 
 # Magic numbers of the Zstandard seekable format.
@@ -117,7 +118,7 @@ def _write(frame_bytes, bundle_bytes, level):
 
     def run(batches):
         bundle = Bundle(frame_bytes, level)
-        for batch in batches:
+        for batch in w.slices(batches, 2):
             for page, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 refers_to = None if first is None else f"urn:x-page:{first}"
                 name = f"urn:x-page:{'' if page is None else page}"

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from xxhash import xxh3_64_intdigest
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte from 0x80 on, and blanks the rest.
@@ -15,6 +16,26 @@ _SECOND = 0xD6E8FEB86659FD93
 _powers = {}
 
 
+def slices(batches, *columns, most=1 << 22):
+    """The rows of Arrow batches in slices whose texts in ``columns`` have about ``most`` bytes.
+
+    What a task computes from a slice is then bounded, however many rows a batch has; a single
+    longer text is a slice of its own.
+    """
+    for batch in batches:
+        size = np.full(batch.num_rows, 64, np.int64)
+        for at in columns:
+            lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0)
+            size += lengths.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        start = 0
+        while start < batch.num_rows:
+            reached = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, reached + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def texts(column):
     """The texts of an Arrow column as UTF-8 bytes; null counts as empty."""
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
