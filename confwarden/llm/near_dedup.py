@@ -10,8 +10,7 @@ from confwarden.llm.components import components
 from confwarden.session import land, work_folder
 
 BANDS, ROWS = 40, 6
-SALTS = 8
-_EMPTY = np.uint64(0)
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 16
 
 
 def donors(bins):
@@ -117,19 +116,104 @@ def _verified(spark, docs, pairs, k, percent):
     return land(both.mapInArrow(_confirm(percent), "a long, b long"), work_folder(spark, "confirmed"))
 
 
-def _similar_size(percent):
-    small, large = F.least("n", "center_n"), F.greatest("n", "center_n")
-    return 100 * small >= percent * large
+def _short_sets(k):
+    """Sets by the upper half of their hashes: all shingles, half the bytes."""
+
+    def run(batches):
+        for batch in w.slices(batches, 1):
+            sets = [np.unique(word_set(t, k) >> np.uint64(32)).astype(np.uint32).tobytes() for t in w.texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "members"]
+            )
 
+    return run
 
-def _star_pairs(members, centers, percent):
-    """Each bucket member with its bucket's centres, where the sizes allow the similarity."""
-    return (
-        members.join(centers, "bucket")
-        .where((F.col("doc_id") != F.col("center")) & _similar_size(percent))
-        .select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b"))
-        .distinct()
+
+def _screen(percent):
+    """Pairs of different components in one block of a bucket that may be similar enough.
+
+    Halved hashes can only make sets more alike, up to a rounding that one percent covers.
+    One pair is given for each stray and component; all are confirmed by full sets.
+    """
+
+    def run(table):
+        stray = table.column("stray").to_numpy(zero_copy_only=False)
+        ids, labels = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("members").to_pylist()]
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        found = {}
+        if len(left) and len(right):
+            sizes = np.array([len(s) for s in sets])
+            vocabulary, place = np.unique(np.concatenate([sets[i] for i in left]), return_inverse=True)
+            holds = np.zeros((len(vocabulary), len(left)), np.uint8)
+            holds[place, np.repeat(np.arange(len(left)), sizes[left])] = 1
+            for j in right:
+                at = np.minimum(np.searchsorted(vocabulary, sets[j]), len(vocabulary) - 1)
+                both = holds[at[vocabulary[at] == sets[j]]].sum(axis=0, dtype=np.int64)
+                ok = 100 * both >= (percent - 1) * (sizes[left] + sizes[j] - both)
+                for i in left[ok & (labels[left] != labels[j])]:
+                    found.setdefault((ids[i], labels[j]), ids[j])
+        a = np.array([x[0] for x in found], np.int64)
+        b = np.array(list(found.values()), np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _blocks(size, shingles):
+    """How many blocks hold so many documents with so many shingles, in bounded shares."""
+    return F.ceil(F.greatest(size / F.lit(BLOCK_ROWS), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def _stray_pairs(spark, docs, members, labels, k, percent):
+    """Pairs of different components that share a bucket and may be similar enough.
+
+    In a bucket of several components, every document outside its largest one (a stray) meets
+    all others, block by block: strays and documents are dealt into blocks of bounded size,
+    and only pairs that pass leave a block.
+    """
+    named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("label")
+    )
+    named = land(named, work_folder(spark, "named"))
+    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    buckets = land(
+        parts.groupBy("bucket")
+        .agg(
+            F.count("*").alias("parts"),
+            F.max(F.struct("size", "label", "shingles")).alias("top"),
+            F.sum("size").alias("size"),
+            F.sum("shingles").alias("shingles"),
+        )
+        .where("parts > 1")
+        .select(
+            "bucket",
+            F.col("top.label").alias("main"),
+            _blocks(F.col("size") - F.col("top.size"), F.col("shingles") - F.col("top.shingles")).alias("blocks"),
+            _blocks(F.col("size"), F.col("shingles")).alias("chunks"),
+        ),
+        work_folder(spark, "mixed"),
     )
+    named = land(named.join(buckets, "bucket"), work_folder(spark, "rest"))
+    if named.isEmpty():
+        return None
+    ids = named.select("doc_id").distinct()
+    sets = land(
+        docs.join(ids, "doc_id", "left_semi").mapInArrow(_short_sets(k), "doc_id long, members binary"),
+        work_folder(spark, "sets"),
+    )
+    rows = named.join(sets, "doc_id")
+    deal = F.xxhash64("doc_id")
+
+    def dealt(rows, stray, block, chunk):
+        return rows.select("bucket", block.alias("block"), chunk.alias("chunk"), "doc_id", "label", F.lit(stray).alias("stray"), "members")
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = rows.where("label <> main").withColumn("block", F.pmod(deal, "blocks").cast("int")).withColumn("chunk", every("chunks"))
+    others = rows.withColumn("chunk", F.pmod(deal, "chunks").cast("int")).withColumn("block", every("blocks"))
+    both = dealt(strays, True, F.col("block"), F.col("chunk")).union(dealt(others, False, F.col("block"), F.col("chunk")))
+    pairs = both.groupBy("bucket", "block", "chunk").applyInArrow(_screen(percent), "a long, b long")
+    return land(pairs.distinct(), work_folder(spark, "pairs"))
 
 
 def near_duplicates(spark, docs, k=3, percent=85, bands=BANDS, rows=ROWS, id_col="doc_id", text_col="text"):
@@ -141,12 +225,12 @@ def near_duplicates(spark, docs, k=3, percent=85, bands=BANDS, rows=ROWS, id_col
     than ``k`` words have their whole sequence as one shingle; those without words or with null
     text have none and are linked with nothing.  Equal sets are one class named by its least
     id, so copies never meet as pairs.  A class goes to ``bands`` buckets; a pair at the
-    threshold shares none with a probability of about 1e-8.  In each bucket the members are
-    compared with one centre by full sets.  Buckets that then still hold more than one
-    component lose their centres and take up to eight new ones, until all pairs of different
-    components have been compared, so no link rests on the choice of a centre.  A null id is
-    linked with nothing: component_id null, kept true.  Rows that repeat an id and text stay,
-    all with the same result; rows of one id with different texts are compared like others.
+    threshold shares none with a probability of about 1e-8.  Star-shaped edges compare each
+    member of a bucket with its least one by full sets.  In buckets that then still hold more
+    than one component, whatever is outside the largest is compared with the rest in blocks,
+    so no link rests on the choice of a centre.  A null id is linked with nothing:
+    component_id null, kept true.  Rows that repeat an id and text stay, all with the same
+    result; rows of one id with different texts are compared like others.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
@@ -166,69 +250,29 @@ def near_duplicates(spark, docs, k=3, percent=85, bands=BANDS, rows=ROWS, id_col
         sketched.join(classes, ["digest", "doc_id"], "left_semi")
         .select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     )
-    shared = land(
+    centers = land(
         members.groupBy("bucket")
         .agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("size"))
         .where("size > 1")
         .select("bucket", F.col("c.doc_id").alias("center"), F.col("c.n").alias("center_n")),
         work_folder(spark, "buckets"),
     )
-    members = land(
-        members.join(shared, "bucket").select("bucket", "doc_id", "n", "center", "center_n"),
-        work_folder(spark, "members"),
-    )
+    members = land(members.join(centers, "bucket"), work_folder(spark, "members"))
+    small, large = F.least("n", "center_n"), F.greatest("n", "center_n")
     pairs = land(
-        _star_pairs(members.select("bucket", "doc_id", "n"), shared, percent), work_folder(spark, "pairs")
+        members.where((F.col("doc_id") != F.col("center")) & (100 * small >= percent * large))
+        .select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b"))
+        .distinct(),
+        work_folder(spark, "pairs"),
     )
     links = _verified(spark, known, pairs, k, percent)
     labels = land(components(spark, links), work_folder(spark, "labels"))
-    rest = members.where("doc_id <> center").select("bucket", "doc_id", "n")
-    turn = 0
-    while True:
-        # Buckets whose members are still of several components, without their past centres.
-        named = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("label")
-        )
-        named = land(named, work_folder(spark, "named"))
-        mixed = land(
-            named.groupBy("bucket")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            .where("low < high")
-            .select("bucket"),
-            work_folder(spark, "mixed"),
-        )
-        named = land(named.join(mixed, "bucket", "left_semi"), work_folder(spark, "rest"))
-        if named.isEmpty():
-            break
-        turn += 1
-        salt = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(SALTS))
-        centers = land(
-            named.groupBy("bucket", salt.alias("salt"))
-            .agg(F.min(F.struct("doc_id", "n", "label")).alias("c"))
-            .select(
-                "bucket",
-                F.col("c.doc_id").alias("center"),
-                F.col("c.n").alias("center_n"),
-                F.col("c.label").alias("center_label"),
-            ),
-            work_folder(spark, "centers"),
-        )
-        fresh = land(
-            named.join(centers, "bucket")
-            .where((F.col("label") != F.col("center_label")) & _similar_size(percent))
-            .select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b"))
-            .distinct()
-            .join(pairs, ["a", "b"], "left_anti"),
-            work_folder(spark, "pairs"),
-        )
-        pairs = pairs.union(fresh)
-        found = _verified(spark, known, fresh, k, percent)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = land(components(spark, links), work_folder(spark, "labels"))
-        rest = named.join(
-            centers.select("bucket", F.col("center").alias("doc_id")), ["bucket", "doc_id"], "left_anti"
-        ).select("bucket", "doc_id", "n")
+    rest = _stray_pairs(spark, known, members.select("bucket", "doc_id", "n"), labels, k, percent)
+    if rest is not None:
+        more = _verified(spark, known, rest.join(pairs, ["a", "b"], "left_anti"), k, percent)
+        if not more.isEmpty():
+            joined = labels.select("node", "component").union(more)
+            labels = land(components(spark, joined), work_folder(spark, "labels"))
     named = land(
         classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "digest", F.coalesce("component", "doc_id").alias("component_id")
@@ -247,14 +291,14 @@ def near_duplicates(spark, docs, k=3, percent=85, bands=BANDS, rows=ROWS, id_col
     )
 
 
-def keep_first(spark, docs, k=5, percent=80, **how):
+def keep_first(spark, docs, k=5, percent=80, bands=48, rows=5):
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
 
     Rows that repeat others in every column stay once; rows with a null id all stay.
     """
     names = docs.columns
     kept = (
-        near_duplicates(spark, docs, k, percent, **how).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+        near_duplicates(spark, docs, k, percent, bands, rows).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     )
     kept = land(kept, work_folder(spark, "kept"))
     known = docs.where("doc_id IS NOT NULL")
