@@ -103,30 +103,20 @@ def _confirm(percent):
     return run
 
 
-def _verified(spark, docs, pairs, k, percent):
+def _verified(spark, sets, pairs, percent):
     """The pairs whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = land(
-        docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, members binary"),
-        work_folder(spark, "sets"),
-    )
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
     return land(both.mapInArrow(_confirm(percent), "a long, b long"), work_folder(spark, "confirmed"))
 
 
-def _short_sets(k):
+def _halved(batches):
     """Sets by the upper half of their hashes: all shingles, half the bytes."""
-
-    def run(batches):
-        for batch in w.slices(batches, 1):
-            sets = [np.unique(word_set(t, k) >> np.uint64(32)).astype(np.uint32).tobytes() for t in w.texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "members"]
-            )
-
-    return run
+    for batch in w.slices(batches, 4):
+        full = (np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist())
+        half = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in full]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(half, pa.binary())], batch.schema.names)
 
 
 def _screen(percent):
@@ -165,7 +155,7 @@ def _blocks(size, shingles):
     return F.ceil(F.greatest(size / F.lit(BLOCK_ROWS), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
 
 
-def _stray_pairs(spark, docs, members, labels, k, percent):
+def _stray_pairs(spark, sets, members, labels, percent):
     """Pairs of different components that share a bucket and may be similar enough.
 
     In a bucket of several components, every document outside its largest one (a stray) meets
@@ -197,12 +187,16 @@ def _stray_pairs(spark, docs, members, labels, k, percent):
     named = land(named.join(buckets, "bucket"), work_folder(spark, "rest"))
     if named.isEmpty():
         return None
-    ids = named.select("doc_id").distinct()
-    sets = land(
-        docs.join(ids, "doc_id", "left_semi").mapInArrow(_short_sets(k), "doc_id long, members binary"),
-        work_folder(spark, "sets"),
+    named = named.withColumn("place", F.struct("main", "blocks", "chunks"))
+    rows = (
+        named.select("doc_id", "bucket", "label", "place")
+        .join(sets.hint("merge"), "doc_id")
+        .mapInArrow(
+            _halved,
+            "doc_id long, bucket long, label long, place struct<main:long,blocks:int,chunks:int>, members binary",
+        )
+        .select("doc_id", "bucket", "label", "place.*", "members")
     )
-    rows = named.join(sets, "doc_id")
     deal = F.xxhash64("doc_id")
 
     def dealt(rows, stray, block, chunk):
@@ -233,7 +227,6 @@ def near_duplicates(spark, docs, k=3, percent=85, bands=BANDS, rows=ROWS, id_col
     result; rows of one id with different texts are compared like others.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = docs.where("doc_id IS NOT NULL")
     sketched = land(
         docs.mapInArrow(
             _sketches(k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"
@@ -265,11 +258,17 @@ def near_duplicates(spark, docs, k=3, percent=85, bands=BANDS, rows=ROWS, id_col
         .distinct(),
         work_folder(spark, "pairs"),
     )
-    links = _verified(spark, known, pairs, k, percent)
+    # One pass over the texts serves all comparisons: the sets of classes that share a bucket.
+    ids = members.select("doc_id").distinct()
+    sets = land(
+        docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, members binary"),
+        work_folder(spark, "sets"),
+    )
+    links = _verified(spark, sets, pairs, percent)
     labels = land(components(spark, links), work_folder(spark, "labels"))
-    rest = _stray_pairs(spark, known, members.select("bucket", "doc_id", "n"), labels, k, percent)
+    rest = _stray_pairs(spark, sets, members.select("bucket", "doc_id", "n"), labels, percent)
     if rest is not None:
-        more = _verified(spark, known, rest.join(pairs, ["a", "b"], "left_anti"), k, percent)
+        more = _verified(spark, sets, rest.join(pairs, ["a", "b"], "left_anti"), percent)
         if not more.isEmpty():
             joined = labels.select("node", "component").union(more)
             labels = land(components(spark, joined), work_folder(spark, "labels"))
