@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from confwarden import fixed, schemas
 from confwarden.operators.counts import outcomes_by_path
 from confwarden.plans import AuditConfig, Entities, audit, commit_audit, ensure_clients, plan_token_mode
+from confwarden.plans.audit import finding_log
 from confwarden.session import build_session
 from confwarden.sinks import write_plan
 from confwarden.sources import read_pages, read_table, target_list
@@ -57,7 +58,7 @@ def run_audit(spark, args):
             details=entity("policy_detail", required=False),
             associations=entity("permission_assoc", required=False),
             manifest=entity("manifest", required=False),
-            ledger=_ledger(spark, ledger),
+            ledger=None if args.reset else _ledger(spark, ledger),
             outcomes=outcomes_by_path(attempts) if attempts is not None else None,
         ),
         AuditConfig(args.pattern, args.tenants, args.reserved, args.batch_size, not args.apply),
@@ -65,8 +66,11 @@ def run_audit(spark, args):
     )
     now = F.lit(datetime.datetime.now(datetime.timezone.utc))
     commit_audit(result, ledger, run_id, now)
+    findings = finding_log(result.findings, now)
+    write_plan(findings, f"{result.folder}/findings", mode="overwrite")
+    write_plan(result.counts, f"{result.folder}/counts", mode="overwrite")
     if result.rejected is not None:
-        result.rejected.write.mode("overwrite").parquet(f"{result.folder}/rejected")
+        result.rejected.show(truncate=False)
     result.summary.show(truncate=False)
 
 
@@ -81,10 +85,11 @@ def run_token_mode(spark, args):
         mode=args.mode,
         reserved=args.reserved,
     )
-    write_plan(plan.clients, f"{args.out}/clients")
-    write_plan(plan.policies, f"{args.out}/policies")
-    write_plan(plan.missing, f"{args.out}/missing")
-    write_plan(plan.without_policies, f"{args.out}/without_policies")
+    # Plans replace those of an earlier run over the same folder: a repeated run adds nothing.
+    write_plan(plan.clients, f"{args.out}/clients", mode="overwrite")
+    write_plan(plan.policies, f"{args.out}/policies", mode="overwrite")
+    write_plan(plan.missing, f"{args.out}/missing", mode="overwrite")
+    write_plan(plan.without_policies, f"{args.out}/without_policies", mode="overwrite")
 
 
 def run_ensure_clients(spark, args):
@@ -94,7 +99,7 @@ def run_ensure_clients(spark, args):
     desired = realm.select("realm", F.explode(names).alias("client_id"))
     existing = entity("client").filter(F.col("realm") == args.reserved)
     plan = ensure_clients(desired, existing).filter(F.col("action") != "noop")
-    write_plan(plan, f"{args.out}/clients")
+    write_plan(plan, f"{args.out}/clients", mode="overwrite")
 
 
 def parser():
@@ -115,6 +120,7 @@ def parser():
     sub.add_argument("--tenants", default="")
     sub.add_argument("--batch-size", type=int, default=fixed.BATCH_SIZE)
     sub.add_argument("--apply", action="store_true", help="mark the plan rows as to be applied")
+    sub.add_argument("--reset", action="store_true", help="audit again what the ledger calls done")
     sub.add_argument("--run-id")
 
     sub = job("token-mode", run_token_mode)

@@ -45,26 +45,39 @@ def first_with_ids(*lists):
     return F.get(F.filter(F.array(*lists), lambda ids: F.size(ids) > 0), F.lit(0))
 
 
-def _array_text(text):
-    """``text`` if it is an array: a lone object would decode to a one-element array."""
-    return F.when(text.rlike(r"^\s*\["), text)
+def _elements(text):
+    """Elements of a text that is a JSON list as a whole; null for anything else.
+
+    The parser stops after one value, so the text is put into a list of its own: a rest
+    behind the value is then an error, or a second element.
+    """
+    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.try_variant_get(F.when(F.size(whole) == 1, F.get(whole, F.lit(0))), "$", "array<variant>")
+
+
+def _is_object(element):
+    return F.startswith(F.schema_of_variant(element), F.lit("OBJECT"))
 
 
 def decode_role_ids(text):
     """Ids of a JSON list of objects held in a string.
 
-    Anything but a list, and a list with an element that is not an object, has none.
+    Anything but a list, and a list with an element that is neither object nor null, has none.
     """
-    return clean_ids(F.from_json(_array_text(text), "array<struct<id:string>>").getField("id"))
+    elements = _elements(text)
+    objects = F.forall(elements, lambda x: _is_object(x) | F.is_variant_null(x))
+    ids = F.transform(elements, lambda x: F.try_variant_get(x, "$.id", "string"))
+    return clean_ids(F.when(objects, ids))
 
 
 def decode_assoc_ids(text):
     """Ids of a JSON list held in a string; elements are ids or objects with an ``id``."""
-    elements = F.from_json(_array_text(text), "array<string>")
     return clean_ids(
         F.transform(
-            elements,
-            lambda x: F.when(F.startswith(x, F.lit("{")), F.get_json_object(x, "$.id")).otherwise(x),
+            _elements(text),
+            lambda x: F.when(_is_object(x), F.try_variant_get(x, "$.id", "string")).otherwise(
+                F.try_variant_get(x, "$", "string")
+            ),
         )
     )
 

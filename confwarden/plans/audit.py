@@ -36,8 +36,8 @@ from confwarden.operators.refs import (
 from confwarden.session import land, work_folder
 from confwarden.sinks.ledger import append_ledger, done_rows
 from confwarden.sinks.tables import write_plan
-from confwarden.sources.guard import complete_realms, incomplete_exports
-from confwarden.sources.targets import target_list
+from confwarden.sources.guard import complete_realms, rejected_exports
+from confwarden.sources.targets import target_list, unknown_targets
 
 
 @dataclass(frozen=True)
@@ -82,6 +82,7 @@ class AuditResult:
     plan: DataFrame
     summary: DataFrame
     folder: str
+    config: AuditConfig
     rejected: DataFrame | None = None
 
 
@@ -91,18 +92,26 @@ def scope_of(entities: Entities, config: AuditConfig, folder: str):
     realms = drop_reserved(only_targets(entities.realms, targets), config.reserved)
     clients = clients_in_scope(entities.clients, config.pattern, targets, config.reserved)
     rejected = None
+    unknown = unknown_targets(entities.realms, targets)
+    if unknown:
+        raise ValueError(f"the export has no tenants named {', '.join(unknown)}")
     if entities.manifest is not None:
         delivered = {
             "client": entities.clients,
             "role": entities.roles,
             "policy": entities.policies,
+            "policy_detail": entities.details,
+            "permission_assoc": entities.associations,
         }
-        rejected = incomplete_exports(entities.manifest, delivered)
-        realms = land(complete_realms(realms, entities.manifest, delivered), f"{folder}/realm")
-        clients = clients.join(realms.select("realm"), "realm", "left_semi")
+        delivered = {name: df for name, df in delivered.items() if df is not None}
+        rejected = land(rejected_exports(realms, entities.manifest, delivered), f"{folder}/rejected")
+        realms = land(complete_realms(realms, rejected), f"{folder}/realm")
+    clients = only_found(clients, realms.select("realm"), ["realm"])
     if entities.ledger is not None:
         done = entities.ledger.filter(F.col("status") == "done")
-        whole = done.filter(F.col("client_uuid").isNull())
+        # A tenant was done for the clients of one pattern; another pattern has others.
+        same = F.col("phase").isNull() | (F.col("phase") == config.pattern)
+        whole = done.filter(F.col("client_uuid").isNull() & same)
         realms = pending(realms, whole, ["realm"])
         clients = pending(clients, whole, ["realm"])
         clients = pending(clients, done.filter(F.col("client_uuid").isNotNull()), CLIENT_KEY)
@@ -212,6 +221,10 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
         f"{folder}/dead_permission",
     )
     findings = all_findings(dead, orphaned)
+    planned = delete_plan(findings, config.dry_run)
+    outcomes = entities.outcomes
+    if outcomes is not None:  # those of other tenants and runs are not this run's
+        outcomes = only_found(outcomes, planned.select("resource_path"), ["resource_path"])
     named = with_names(findings, entities.policies, clients)
     group = [*CLIENT_KEY, "phase"]
     return AuditResult(
@@ -221,11 +234,10 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
         dead_permissions=orphaned,
         findings=named,
         counts=findings_by_client(clients, findings),
-        plan=number_batches(
-            delete_plan(findings, config.dry_run), group, "target_id", config.batch_size
-        ),
-        summary=run_summary(realms, clients, dead, orphaned, entities.outcomes),
+        plan=number_batches(planned, group, "target_id", config.batch_size),
+        summary=run_summary(realms, clients, dead, orphaned, outcomes),
         folder=folder,
+        config=config,
         rejected=rejected,
     )
 
@@ -234,8 +246,11 @@ def commit_audit(result: AuditResult, ledger: str, run_id: str, ts) -> DataFrame
     """Write the delete plan into the run's folder, then mark the scope as done.
 
     In this order: a run that fails in between leaves no ledger rows, and its clients are
-    audited again.  Returns the whole ledger.
+    audited again.  A dry run marks nothing, so the run that applies its plan finds the same
+    scope.  A tenant is done for the run's pattern only.  Returns the whole ledger.
     """
     write_plan(result.plan, f"{result.folder}/plan", mode="overwrite")
-    rows = done_rows(result.clients, run_id, ts).unionByName(done_rows(result.realms, run_id, ts))
-    return append_ledger(rows, ledger)
+    rows = done_rows(result.clients, run_id, ts).unionByName(
+        done_rows(result.realms, run_id, ts, phase=result.config.pattern)
+    )
+    return append_ledger(rows.limit(0) if result.config.dry_run else rows, ledger)

@@ -80,3 +80,15 @@ EXPORTS = {
     "run_ledger": RUN_LEDGER,
     "outcome": OUTCOME,
 }
+
+#: Fields without which a document cannot be told from others.
+KEYS = {
+    "realm": ("realm",),
+    "client": ("realm", "client_uuid", "client_id"),
+    "role": ("realm", "role_id"),
+    "policy": ("realm", "client_uuid", "policy_id", "type"),
+    "policy_detail": ("realm", "client_uuid", "policy_id"),
+    "permission_assoc": ("realm", "client_uuid", "permission_id", "policy_id"),
+    "manifest": ("realm", "entity"),
+    "outcome": ("resource_path",),
+}

@@ -6,22 +6,31 @@ so reading scales with the bytes and there is no paging and no cap on the row co
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from confwarden import schemas
 
 
 def read_pages(spark: SparkSession, entity: str, path: str, array_files: bool = False) -> DataFrame:
-    """Exported pages of ``entity``; a line that is no JSON fails the read.
+    """Exported pages of ``entity``.
+
+    A line that is no JSON fails the read, and so does a document without one of the entity's
+    keys: one with foreign field names would otherwise be a row of nulls.
 
     ``array_files`` is for exports with one array spread over the lines of each file.
     Such a file cannot be split, so it suits page-sized files only.
     """
-    return (
+    pages = (
         spark.read.schema(schemas.EXPORTS[entity])
         .option("mode", "FAILFAST")
         .option("multiLine", array_files)
         .json(path)
     )
+    message = F.lit(f"a document of {entity} lacks ")
+    for key in schemas.KEYS.get(entity, ()):
+        missing = F.raise_error(F.concat(message, F.lit(key))).cast(pages.schema[key].dataType)
+        pages = pages.withColumn(key, F.coalesce(F.col(key), missing))
+    return pages
 
 
 def land_export(df: DataFrame, path: str, by: str | None = None) -> DataFrame:

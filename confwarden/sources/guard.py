@@ -14,6 +14,8 @@ ENTITY_KEYS = {
     "client": ["client_uuid"],
     "role": ["role_id"],
     "policy": ["client_uuid", "policy_id"],
+    "policy_detail": ["client_uuid", "policy_id"],
+    "permission_assoc": ["client_uuid", "permission_id", "policy_id"],
 }
 
 
@@ -37,16 +39,24 @@ def incomplete_exports(manifest: DataFrame, entities: dict[str, DataFrame]) -> D
     )
 
 
-def complete_realms(realms: DataFrame, manifest: DataFrame, entities: dict[str, DataFrame]) -> DataFrame:
-    """Tenants that announce every one of ``entities`` and delivered all of it."""
-    broken = incomplete_exports(manifest, entities).select("realm")
-    announced = (
-        manifest.filter(F.col("entity").isin(*entities))
-        .groupBy("realm")
-        .agg(F.countDistinct("entity").alias("n"))
-        .filter(F.col("n") == len(entities))
-        .select("realm")
-    )
-    return realms.join(announced, "realm", "left_semi").join(
-        broken.distinct(), "realm", "left_anti"
+def rejected_exports(realms: DataFrame, manifest: DataFrame, entities: dict[str, DataFrame]) -> DataFrame:
+    """``realm, entity, expected, actual, reason`` of all that keeps tenants of ``realms`` out.
+
+    Each tenant has to announce every one of ``entities``; what it announces and what it does
+    not are both listed, so that no tenant is left out without a row that says why.
+    """
+    names = F.array(*[F.lit(n) for n in entities])
+    wanted = realms.select("realm", F.explode(names).alias("entity")).distinct()
+    missing = wanted.join(manifest.select("realm", "entity"), ["realm", "entity"], "left_anti").select(
+        "*",
+        F.lit(None).cast("long").alias("expected"),
+        F.lit(None).cast("long").alias("actual"),
+        F.lit("not announced").alias("reason"),
     )
+    broken = incomplete_exports(manifest, entities).join(realms.select("realm").distinct(), "realm", "left_semi")
+    return missing.unionByName(broken.withColumn("reason", F.lit("incomplete")))
+
+
+def complete_realms(realms: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Tenants without a row in ``rejected_exports``."""
+    return realms.join(rejected.select("realm").distinct(), "realm", "left_anti")

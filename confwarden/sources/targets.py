@@ -27,3 +27,11 @@ def explode_targets(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.select(
         *keys, F.posexplode(F.array_distinct(names)).alias("pos", "realm")
     )
+
+
+def unknown_targets(realms: DataFrame, targets: list[str]) -> list[str]:
+    """The names of ``targets`` that no tenant has; what comes back is bounded by the list."""
+    if not targets:
+        return []
+    known = {r.realm for r in realms.filter(F.col("realm").isin(targets)).select("realm").distinct().collect()}
+    return [name for name in targets if name not in known]

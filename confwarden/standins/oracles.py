@@ -279,8 +279,10 @@ _SQL = {
                (SELECT count(*) FROM dead WHERE client_uuid IN (SELECT client_uuid FROM audited)) AS dead_policies,
                (SELECT count(*) FROM deadperm
                 WHERE client_uuid IN (SELECT client_uuid FROM audited)) AS dead_permissions,
-               ok AS deleted, fail AS delete_failures
-        FROM tally""",
+               count(*) FILTER (CAST(target_id AS BIGINT) % 3 < 2) AS deleted,
+               count(*) FILTER (CAST(target_id AS BIGINT) % 3 = 2) AS delete_failures
+        FROM (SELECT target_id FROM plan
+              WHERE phase = '1' AND client_uuid IN (SELECT client_uuid FROM audited)) AS attempted""",
     "audit_plan": """
         SELECT resource_path, phase, 'delete' AS action, false AS apply,
                CAST((row_number() OVER (PARTITION BY realm, client_uuid, phase

@@ -258,10 +258,53 @@ def test_incomplete_tenant_is_rejected(snapshot, frame):
         )
     )
     assert dead(result) == ["of r"]
-    assert rows(result.rejected, "realm", "entity", "expected", "actual") == [("s", "role", 2, 1)]
+    assert rows(result.rejected, "realm", "entity", "expected", "actual", "reason") == [
+        ("s", "role", 2, 1, "incomplete"),
+        ("t", "client", None, None, "not announced"),
+        ("t", "role", None, None, "not announced"),
+    ]
     assert result.summary.first()["realms_processed"] == 1
 
 
+def test_associations_are_guarded_too(snapshot, frame):
+    policies = [role_policy("r", "c", "p", "gone"), permission("r", "c", "x", text="[]")]
+    links = frame("permission_assoc", [("r", "c", "x", "p")])
+    announced = [("r", "client", 1), ("r", "role", 1), ("r", "policy", 2)]
+
+    def run(*more):
+        return audit(snapshot(policies, associations=links, manifest=frame("manifest", [*announced, *more])))
+
+    assert rows(run().rejected, "entity", "reason") == [("permission_assoc", "not announced")]
+    short = run(("r", "permission_assoc", 2))
+    assert rows(short.rejected, "entity", "actual", "reason") == [("permission_assoc", 1, "incomplete")]
+    assert short.plan.isEmpty()
+    assert rows(run(("r", "permission_assoc", 1)).plan, "target_id") == [("p",), ("x",)]
+
+
+def test_clients_of_unlisted_tenants_stay_out(snapshot):
+    clients = [("r", "c", "x-application", True), ("other", "d", "x-application", True)]
+    policies = [role_policy("r", "c", "p", "gone"), role_policy("other", "d", "q", "gone")]
+    assert dead(audit(snapshot(policies, clients=clients))) == ["p"]
+
+
+def test_outcomes_of_other_runs_do_not_count(snapshot, spark):
+    policies = [role_policy("r", "c", "p", "gone"), role_policy("r", "c", "q", "gone")]
+    path = audit(snapshot(policies)).plan.filter("target_id = 'p'").first()["resource_path"]
+    attempts = [(path, 500), (path, 204), (path.replace("/r/", "/other/"), 204), ("/elsewhere", 403)]
+    outcomes = outcomes_by_path(spark.createDataFrame(attempts, "resource_path string, http_code int"))
+    summary = audit(snapshot(policies, outcomes=outcomes)).summary.first()
+    assert (summary["deleted"], summary["delete_failures"]) == (1, 0)
+
+
+def test_another_pattern_is_another_scope(snapshot, folder):
+    clients = [("r", "c", "x-application", True), ("r", "d", "y-other", True)]
+    policies = [role_policy("r", "c", "p", "gone"), role_policy("r", "d", "q", "gone")]
+    first = audit(snapshot(policies, clients=clients), AuditConfig(dry_run=False))
+    ledger = commit_audit(first, f"{folder}/ledger", "run-1", F.lit("2024-01-01 00:00:00"))
+    other = audit(snapshot(policies, clients=clients, ledger=ledger), AuditConfig(pattern="-other$"))
+    assert (dead(first), dead(other)) == (["p"], ["q"])
+
+
 def test_a_page_twice_does_not_stand_in_for_a_missing_one(snapshot, frame):
     manifest = frame("manifest", [("r", "client", 1), ("r", "role", 2), ("r", "policy", 1)])
     policies = [role_policy("r", "c", "p", "gone")]
@@ -299,13 +342,15 @@ def test_outcomes_of_an_applied_plan(snapshot, frame):
     outcomes = outcomes_by_path(attempts)
     assert rows(outcomes, "resource_path", "outcome") == [("/a", "OK"), ("/b", "OK"), ("/c", "FAIL"), ("/d", "FAIL")]
     result = audit(snapshot([role_policy("r", "c", "p", "gone")], outcomes=outcomes))
-    assert tuple(result.summary.first()) == (1, 1, 1, 0, 2, 2)
+    assert tuple(result.summary.first()) == (1, 1, 1, 0, 0, 0)  # none of them is of this plan
 
 
 def test_second_run_does_nothing(spark, snapshot, folder):
     policies = [role_policy("r", "c", "p", "gone"), permission("r", "c", "x", "p")]
     at = F.lit("2024-01-01 00:00:00")
-    first = audit(snapshot(policies))
+    dry = audit(snapshot(policies))
+    assert commit_audit(dry, f"{folder}/ledger", "run-0", at).count() == 0
+    first = audit(snapshot(policies), AuditConfig(dry_run=False))
     ledger = commit_audit(first, f"{folder}/ledger", "run-1", at)
     written = spark.read.schema(first.plan.schema).parquet(f"{first.folder}/plan")
     assert rows(written, "target_id") == [("p",), ("x",)]

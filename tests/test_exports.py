@@ -30,6 +30,13 @@ def test_bad_page_fails_the_read(spark, folder):
         read_pages(spark, "role", folder).collect()
 
 
+def test_document_without_its_key_fails_the_read(spark, folder):
+    with open(f"{folder}/a.json", "w") as out:
+        out.write('[{"realm": "r", "id": "x", "clientId": "y"}]\n')
+    with pytest.raises(Exception, match="a document of client lacks client_uuid"):
+        read_pages(spark, "client", folder).collect()
+
+
 def test_filters_and_columns_reach_the_reader(spark, frame, folder):
     policies = frame("policy", [role_policy("r", "c", "p", "x"), permission("r", "c", "q", "p")])
     landed = land_export(policies, f"{folder}/by-type", by="type")
@@ -61,7 +68,16 @@ def test_command_line(spark, frame, folder):
     plan = spark.read.parquet(f"{out}/run-1/plan")
     assert rows(plan, "target_id", "apply") == [("p", False), ("x", False)]
     main(["audit", "--export", export, "--out", out, "--run-id", "2", "--apply"])
-    assert spark.read.parquet(f"{out}/run-2/dead_policy").count() == 0
+    # The dry run has not marked anything as done; the run that applies has.
+    assert rows(spark.read.parquet(f"{out}/run-2/plan"), "target_id", "apply") == [("p", True), ("x", True)]
+    assert spark.read.parquet(f"{out}/run-2/findings").filter("msg IS NOT NULL").count() == 2
+    main(["audit", "--export", export, "--out", out, "--run-id", "3", "--apply"])
+    assert spark.read.parquet(f"{out}/run-3/dead_policy").count() == 0
+    main(["audit", "--export", export, "--out", out, "--run-id", "5", "--apply", "--reset"])
+    assert spark.read.parquet(f"{out}/run-5/dead_policy").count() == 1
+    with pytest.raises(ValueError, match="no tenants named absent"):
+        main(["audit", "--export", export, "--out", out, "--tenants", "r,absent"])
+    main(["token-mode", "--export", export, "--out", f"{out}/mode", "--mode", "lightweight"])
     main(["token-mode", "--export", export, "--out", f"{out}/mode", "--mode", "lightweight"])
     assert rows(spark.read.parquet(f"{out}/mode/clients"), "client_uuid") == [("c",)]
     assert spark.read.parquet(f"{out}/mode/missing").count() == 3
