@@ -19,12 +19,15 @@ from confwarden.plans.audit import finding_log
 from confwarden.session import build_session
 from confwarden.sinks import write_plan
 from confwarden.sources import read_pages, read_table, target_list
+from confwarden.sources.exports import read_documents
 
 
 def _reader(spark, args):
-    read = read_pages if args.format == "json" else read_table
+    formats = {"json": read_pages, "parquet": read_table, "documents": read_pages}
 
     def entity(name, required=True):
+        whole = args.format == "documents" and name in ("client", "policy")
+        read = read_documents if whole else formats[args.format]
         try:
             return read(spark, name, f"{args.export}/{name}")
         except AnalysisException as error:
@@ -110,7 +113,7 @@ def parser():
         sub = jobs.add_parser(name)
         sub.add_argument("--export", required=True, help="folder with a subfolder per entity")
         sub.add_argument("--out", required=True)
-        sub.add_argument("--format", choices=("json", "parquet"), default="json")
+        sub.add_argument("--format", choices=("json", "parquet", "documents"), default="json")
         sub.add_argument("--reserved", default=fixed.RESERVED_REALM)
         sub.set_defaults(run=run)
         return sub

@@ -21,6 +21,7 @@ from confwarden.functions import (
     policy_path,
     stale_mapper,
 )
+from confwarden.functions.documents import edited_client, edited_policy
 from confwarden.operators.clients import (
     CLIENT_KEY,
     authz_clients,
@@ -63,7 +64,7 @@ def mapper_documents(mappers):
 
 
 def client_body(attributes, mappers):
-    """The whole client document as JSON."""
+    """A client document as JSON, of the fields a flat export has."""
     return F.to_json(
         F.struct(
             F.col("client_uuid").alias("id"),
@@ -84,6 +85,9 @@ def patch_clients(clients: DataFrame, value: str) -> DataFrame:
     patched = patch_mappers(
         insert_mapper(mappers, fixed.SUB_MAPPER), fixed.PATCHED_MAPPERS, fixed.CLAIM_KEY, "true"
     )
+    body = client_body(map_upsert(F.col("attributes"), fixed.TOKEN_MODE_ATTRIBUTE, value), patched)
+    if "document" in clients.columns:  # the whole document, edited in place
+        body = F.coalesce(edited_client(F.col("document"), value), body)
     return split_by_authz(clients).select(
         *CLIENT_KEY,
         "client_id",
@@ -93,21 +97,23 @@ def patch_clients(clients: DataFrame, value: str) -> DataFrame:
         insert_sub.alias("insert_sub"),
         mappers.isNull().alias("no_mappers"),
         (insert_sub | stale | ~attribute.eqNullSafe(F.lit(value))).alias("changed"),
-        client_body(
-            map_upsert(F.col("attributes"), fixed.TOKEN_MODE_ATTRIBUTE, value), patched
-        ).alias("body"),
+        body.alias("body"),
     )
 
 
 def patch_policies(policies: DataFrame, value: str) -> DataFrame:
     """Plan rows that set ``fetchRoles`` in role policies."""
     current = F.col("config").getItem(fixed.FETCH_ROLES_KEY)
-    body = F.struct(
-        F.col("policy_id").alias("id"),
-        "name",
-        "type",
-        map_upsert(F.col("config"), fixed.FETCH_ROLES_KEY, value).alias("config"),
+    body = F.to_json(
+        F.struct(
+            F.col("policy_id").alias("id"),
+            "name",
+            "type",
+            map_upsert(F.col("config"), fixed.FETCH_ROLES_KEY, value).alias("config"),
+        )
     )
+    if "document" in policies.columns:  # the whole document, edited in place
+        body = F.coalesce(edited_policy(F.col("document"), value), body)
     return policies.select(
         *CLIENT_KEY,
         F.col("policy_id").alias("target_id"),
@@ -116,7 +122,7 @@ def patch_policies(policies: DataFrame, value: str) -> DataFrame:
             "resource_path"
         ),
         (~current.eqNullSafe(F.lit(value))).alias("changed"),
-        F.to_json(body).alias("body"),
+        body.alias("body"),
     )
 
 

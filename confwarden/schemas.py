@@ -92,3 +92,8 @@ KEYS = {
     "manifest": ("realm", "entity"),
     "outcome": ("resource_path",),
 }
+
+#: Mappers as documents write them, in the order of ``MAPPER``.
+DOCUMENT_MAPPERS = T.ArrayType(
+    _table(("name", S), ("protocol", S), ("protocolMapper", S), ("consentRequired", B), ("config", STRING_MAP))
+)

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from confwarden import schemas
 
 
+def _with_keys(pages: DataFrame, entity: str) -> DataFrame:
+    """``pages``, failing on a row that lacks one of the entity's keys."""
+    for key in schemas.KEYS.get(entity, ()):
+        missing = F.raise_error(F.lit(f"a document of {entity} lacks {key}")).cast(pages.schema[key].dataType)
+        pages = pages.withColumn(key, F.coalesce(F.col(key), missing))
+    return pages
+
+
 def read_pages(spark: SparkSession, entity: str, path: str, array_files: bool = False) -> DataFrame:
     """Exported pages of ``entity``.
 
@@ -26,11 +34,40 @@ def read_pages(spark: SparkSession, entity: str, path: str, array_files: bool =
         .option("multiLine", array_files)
         .json(path)
     )
-    message = F.lit(f"a document of {entity} lacks ")
-    for key in schemas.KEYS.get(entity, ()):
-        missing = F.raise_error(F.concat(message, F.lit(key))).cast(pages.schema[key].dataType)
-        pages = pages.withColumn(key, F.coalesce(F.col(key), missing))
-    return pages
+    return _with_keys(pages, entity)
+
+
+def read_documents(spark: SparkSession, entity: str, path: str) -> DataFrame:
+    """Clients or policies under the field names of their own documents, with the whole text.
+
+    Each line holds ``{"realm": ..., "client_uuid": ..., "document": {...}}``; a client's uuid
+    is its document's id.  ``document`` keeps every field, so that a plan can send all of it
+    back; a line without its keys fails the read.
+    """
+    v = F.try_parse_json("value")
+
+    def field(name, kind="string"):
+        return F.try_variant_get(v, f"$.document.{name}", kind)
+
+    own = F.try_variant_get(v, "$.client_uuid", "string")
+    if entity == "client":
+        kind = schemas.CLIENT["protocol_mappers"].dataType
+        mappers = F.from_json(field("protocolMappers"), schemas.DOCUMENT_MAPPERS).cast(kind)
+        columns = {
+            "client_uuid": field("id"),
+            "client_id": field("clientId"),
+            "authz_enabled": field("authorizationServicesEnabled", "boolean"),
+            "attributes": field("attributes", "map<string,string>"),
+            "protocol_mappers": mappers,
+        }
+    elif entity == "policy":
+        columns = {"client_uuid": own, "policy_id": field("id"), "name": field("name"), "type": field("type")}
+        columns["config"] = field("config", "map<string,string>")
+    else:
+        raise ValueError(f"no document fields are known for {entity}")
+    columns = {"realm": F.try_variant_get(v, "$.realm", "string"), **columns}
+    columns["document"] = F.try_variant_get(v, "$.document", "string")
+    return _with_keys(spark.read.text(path).select(*[c.alias(n) for n, c in columns.items()]), entity)
 
 
 def land_export(df: DataFrame, path: str, by: str | None = None) -> DataFrame:

@@ -273,6 +273,9 @@ _SQL = {
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS flag
         FROM events""",
     # Jobs
+    "whole_policy_body": """
+        SELECT o_orderkey AS policy_id, o_orderpriority AS logic, CAST(o_totalprice AS DOUBLE) AS weight,
+               o_orderstatus AS owner, 'true' AS fetch_roles FROM orders""",
     "audit_summary": """
         SELECT (SELECT count(*) FROM realm WHERE realm <> 'NATION_0') AS realms_processed,
                (SELECT count(*) FROM audited) AS clients_checked,

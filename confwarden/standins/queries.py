@@ -23,6 +23,7 @@ from confwarden.functions import (
     trim_space,
     utc_stamp,
 )
+from confwarden.functions.documents import edited_policy
 from confwarden.operators import batches, children, clients, counts, liveness, refs, roles, sticky
 from confwarden.operators.clients import CLIENT_KEY
 from confwarden.plans.audit import AuditConfig, Entities, all_findings, audit, delete_plan, finding_log
@@ -506,6 +507,27 @@ def patch_plan_body(spark, sf):
     )
 
 
+@query
+def whole_policy_body(spark, sf):
+    """Every order as a policy document with fields outside the schema, edited in place."""
+    document = F.to_json(
+        F.struct(
+            F.col("o_orderkey").cast("string").alias("id"),
+            F.col("o_orderpriority").alias("logic"),
+            F.col("o_totalprice").alias("weight"),
+            F.create_map(F.lit("owner"), F.col("o_orderstatus")).alias("config"),
+        )
+    )
+    body = e.table(spark, sf, "orders").select("o_orderkey", edited_policy(document, "true").alias("body"))
+    return body.select(
+        F.col("o_orderkey").alias("policy_id"),
+        F.get_json_object("body", "$.logic").alias("logic"),
+        F.get_json_object("body", "$.weight").cast("double").alias("weight"),
+        F.get_json_object("body", "$.config.owner").alias("owner"),
+        F.get_json_object("body", "$.config.fetchRoles").alias("fetch_roles"),
+    )
+
+
 @query
 def page_of_policies(spark, sf):
     return batches.page(e.policies(spark, sf).select("policy_id"), ["policy_id"], 100, 100)

@@ -7,6 +7,7 @@ from confwarden import fixed, schemas
 from confwarden.operators.children import grant_missing
 from confwarden.operators.clients import expand_targets, first_of_name, lookup_client, named_by_template, needs_patch
 from confwarden.plans import ensure_clients, plan_token_mode
+from confwarden.sources.exports import read_documents
 from conftest import rows
 
 MODE = fixed.TOKEN_MODE_ATTRIBUTE
@@ -203,3 +204,33 @@ def test_grants_held_are_not_repeated(spark):
         ("b", "admin"),
         ("b", "create-realm"),
     ]
+
+
+def test_whole_documents_survive(spark, folder):
+    """Fields outside the schemas, numbers, nulls and nesting come back in the bodies."""
+    client = {
+        "id": "u1", "clientId": "r-login", "enabled": True, "redirectUris": ["a", "b"], "authorizationServicesEnabled": True,
+        "attributes": {"n": 5, "x": None}, "nodeReRegistrationTimeout": -1, "authorizationSettings": {"policies": [{"a": 1.5}]},
+        "protocolMappers": [
+            {"id": "m1", "name": "username", "protocol": "p", "protocolMapper": "m", "config": {"k": "v"}, "extra": [1]},
+            {"id": "m2", "name": "other", "protocol": "p", "protocolMapper": "m", "config": {"multi": True}},
+        ],
+    }
+    policy = {"id": "p1", "name": "n", "type": "role", "logic": "NEGATIVE", "decisionStrategy": "UNANIMOUS", "config": {"roles": "[]"}, "z": None}
+    for name, line in (
+        ("client", {"realm": "r", "document": client}),
+        ("policy", {"realm": "r", "client_uuid": "u1", "document": policy}),
+    ):
+        with open(f"{folder}/{name}.json", "w") as out:
+            out.write(json.dumps(line) + "\n")
+    clients, policies = (read_documents(spark, name, f"{folder}/{name}.json") for name in ("client", "policy"))
+    plan = plan_token_mode(spark.createDataFrame([("r",)], "realm string"), clients, policies, templates=("-login",))
+    body = json.loads(plan.clients.first().body)
+    sub = body["protocolMappers"].pop()
+    assert (sub["name"], sub["protocolMapper"]) == ("sub", fixed.SUB_MAPPER["protocol_mapper"])
+    client["attributes"][MODE] = "true"
+    client["protocolMappers"][0]["config"][CLAIM] = "true"
+    assert body == client
+    policy["config"]["fetchRoles"] = "true"
+    assert json.loads(plan.policies.first().body) == policy
+    assert plan.clients.first().changed and plan.without_policies.isEmpty()
