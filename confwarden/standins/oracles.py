@@ -308,7 +308,7 @@ _SQL = {
         SELECT c.realm, CAST(c.client_uuid AS VARCHAR) AS client_uuid, '1' AS phase,
                concat('phase=1;offset=', count(*)) AS cursor
         FROM orders o JOIN client c ON c.client_uuid = o.o_custkey
-        WHERE o.o_orderstatus <> 'P' GROUP BY 1, 2""",
+        WHERE o.o_orderstatus <> 'P' AND c.authz_enabled AND c.realm <> 'NATION_0' GROUP BY 1, 2""",
 }
 _SQL["stream_sticky"] = _SQL["sticky_flag"]
 

@@ -1,9 +1,10 @@
 """The audit over export pages that keep arriving.
 
 Each phase is one query that takes whatever pages are new and stops.  A micro-batch
-writes its findings and its ledger rows under its own number, and only then does the
-checkpoint move on: a crash replays the batch, which replaces what it had written.
-Permissions run after policies have finished, on the table those have written.
+writes the references it decodes and its ledger rows under its own number, and only then
+does the checkpoint move on: a crash replays the batch, which replaces what it had written.
+The verdict comes at the end of a run, over all references landed so far: a later version
+of a policy can revive it, and policies may arrive after the permissions that need them.
 """
 
 from collections.abc import Callable
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from confwarden import fixed, schemas
 from confwarden.operators.clients import CLIENT_KEY
 from confwarden.operators.liveness import dead_permissions, dead_policies
+from confwarden.operators.lookup import only_found
 from confwarden.operators.refs import policies_of_type
 from confwarden.plans.audit import permission_edges, role_edges
 from confwarden.sinks.tables import write_batch
@@ -53,7 +55,8 @@ def _ledger_rows(batch: DataFrame, run_id: str, phase) -> DataFrame:
 def _run_phase(
     pages: DataFrame,
     types: tuple[str, ...],
-    find: Callable[[DataFrame], DataFrame],
+    decode: Callable[[DataFrame], DataFrame],
+    clients: DataFrame,
     out: str,
     folder: str,
     run_id: str,
@@ -64,8 +67,9 @@ def _run_phase(
     def batch(page: DataFrame, batch_id: int) -> None:
         mine = policies_of_type(page, *types).persist()
         try:
-            write_batch(find(mine), f"{folder}/{out}", batch_id)
-            write_batch(_ledger_rows(mine, run_id, phase), f"{folder}/ledger/{out}", batch_id)
+            write_batch(decode(mine), f"{folder}/{out}", batch_id)
+            scope = only_found(mine, clients.select(*CLIENT_KEY), CLIENT_KEY)
+            write_batch(_ledger_rows(scope, run_id, phase), f"{folder}/ledger/{out}", batch_id)
         finally:
             mine.unpersist()
 
@@ -77,7 +81,7 @@ def _run_phase(
         .awaitTermination()
     )
     empty = spark.createDataFrame([], pages.schema)
-    return read_batches(spark, f"{folder}/{out}", find(empty).schema)
+    return read_batches(spark, f"{folder}/{out}", decode(empty).schema)
 
 
 def stream_dead_policies(
@@ -88,21 +92,22 @@ def stream_dead_policies(
     run_id: str,
     details: DataFrame | None = None,
 ) -> DataFrame:
-    """Phase 1 over the new pages; returns all dead policies found so far.
+    """Phase 1: lands the new pages' references; returns what is dead by all landed so far.
 
-    ``clients`` and ``roles`` are tables of the same snapshot.  A policy whose page was
-    exported again comes out once.
+    ``clients`` and ``roles`` are tables of the same snapshot.  A policy exported in two
+    versions is dead only if both are, and comes out once.
     """
-    found = _run_phase(
+    edges = _run_phase(
         pages,
         (fixed.ROLE_POLICY,),
-        lambda page: dead_policies(role_edges(page, clients, details), roles),
+        lambda page: role_edges(page, clients, details),
+        clients,
         "dead_policy",
         folder,
         run_id,
         F.lit(fixed.POLICY_PHASE),
     )
-    return found.dropDuplicates(["realm", "client_uuid", "policy_id"])
+    return dead_policies(edges, roles)
 
 
 def stream_dead_permissions(
@@ -113,19 +118,22 @@ def stream_dead_permissions(
     run_id: str,
     associations: DataFrame | None = None,
 ) -> DataFrame:
-    """Phases 2-scope and 2-resource, once ``dead`` is complete."""
+    """Phases 2-scope and 2-resource; returns what ``dead`` leaves of all landed so far.
+
+    Call it again with the dead policies of a later run, with or without new pages: the
+    permissions of earlier runs are judged anew.
+    """
     phase = F.when(F.col("type") == "scope", fixed.PERMISSION_PHASES["scope"]).otherwise(
         fixed.PERMISSION_PHASES["resource"]
     )
-    found = _run_phase(
+    edges = _run_phase(
         pages,
         fixed.PERMISSION_TYPES,
-        lambda page: dead_permissions(
-            permission_edges(page, clients, associations), dead, "type", prune=True
-        ),
+        lambda page: permission_edges(page, clients, associations),
+        clients,
         "dead_permission",
         folder,
         run_id,
         phase,
     )
-    return found.dropDuplicates(["realm", "client_uuid", "permission_id"])
+    return dead_permissions(edges, dead, "type", prune=True)

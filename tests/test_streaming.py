@@ -176,3 +176,33 @@ def test_sticky_flag_in_order_of_arrival(spark, folder):
     assert rows(run(), "session", "at", "flag") == rows(streamed, "session", "at", "flag")
     forget_last_commit(f"{folder}/sticky/checkpoint")
     assert rows(run(), "session", "at", "flag") == rows(batch, "session", "at", "flag")
+
+
+def test_a_later_version_revives_a_policy(spark, known, folder):
+    clients, roles = known
+    for number, ids in enumerate((["gone"], ["gone", "role3"])):
+        page(f"{folder}/policy", number, [policy(2, *ids)])
+    stream = page_stream(spark, "policy", f"{folder}/policy", files_per_batch=1)
+    assert stream_dead_policies(stream, clients, roles, folder, "run-1").isEmpty()
+
+
+def test_policies_may_arrive_after_their_permissions(spark, known, folder):
+    clients, roles = known
+
+    def run(run_id):
+        pages = page_stream(spark, "policy", f"{folder}/policy")
+        dead = stream_dead_policies(pages, clients, roles, folder, run_id)
+        return rows(stream_dead_permissions(pages, clients, dead, folder, run_id), "permission_id")
+
+    page(f"{folder}/policy", 0, [policy(2, "gone"), policy(6, "p2", "p4", kind="scope")])
+    assert run("run-1") == []
+    page(f"{folder}/policy", 1, [policy(4, "gone too")])
+    assert run("run-2") == [("p6",)]
+
+
+def test_cursors_count_the_scope_only(spark, known, folder):
+    clients, roles = known
+    page(f"{folder}/policy", 0, [policy(2, "gone"), {**policy(3, "gone"), "client_uuid": "unknown"}])
+    stream_dead_policies(page_stream(spark, "policy", f"{folder}/policy"), clients, roles, folder, "run-1")
+    ledger = read_batches(spark, f"{folder}/ledger/dead_policy", schemas.RUN_LEDGER)
+    assert rows(cursors(ledger), "client_uuid", "offset") == [("c0", 1)]
