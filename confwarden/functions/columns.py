@@ -64,10 +64,9 @@ def decode_role_ids(text):
 
     Anything but a list, and a list with an element that is neither object nor null, has none.
     """
-    elements = _elements(text)
-    objects = F.forall(elements, lambda x: _is_object(x) | F.is_variant_null(x))
-    ids = F.transform(elements, lambda x: F.try_variant_get(x, "$.id", "string"))
-    return clean_ids(F.when(objects, ids))
+    listed = F.when(text.rlike(r"^\s*\["), F.concat(F.lit("["), text, F.lit("]")))
+    whole = F.from_json(listed, "array<array<struct<id:string>>>")
+    return clean_ids(F.when(F.size(whole) == 1, F.get(whole, F.lit(0)).getField("id")))
 
 
 def decode_assoc_ids(text):

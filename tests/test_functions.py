@@ -136,3 +136,11 @@ def test_target_lists(spark):
         (1, 1, "a"),
         (1, 2, "master"),
     ]
+
+
+def test_lists_are_decoded_as_a_whole(spark):
+    texts = ['[{"id":"a"}] x', '[{"id":"a"}],[{"id":"b"}]', '["{x","d"]', '[{"id":"a"},"b"]', '{"id":"a"}', "[", None, ' [{"id":"a"},null] ']
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    found = df.select("n", fn.decode_role_ids(F.col("t")), fn.decode_assoc_ids(F.col("t"))).orderBy("n").collect()
+    assert [r[1] for r in found] == [[], [], [], [], [], [], [], ["a"]]
+    assert [r[2] for r in found] == [[], [], ["{x", "d"], ["a", "b"], [], [], [], ["a"]]
