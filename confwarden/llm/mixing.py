@@ -33,13 +33,16 @@ def tokens(text):
     return F.array_distinct(F.filter(F.split(text, WORD_GAP, -1), lambda x: x != ""))
 
 
-def fit_classifier(spark, docs, labelled, fit_rows=20_000, most_tokens=256, least_rows=8, most_domains=16):
+def fit_classifier(
+    spark, docs, labelled, fit_rows=20_000, most_tokens=512, least_rows=8, least_gain=10.0, most_domains=16
+):
     """A naive Bayes model of domains: ``(domains, biases, tokens, weights[domain][token])``.
 
     Fitted on a bounded sample: the ``fit_rows`` labelled documents with the least hash of
     their id, read whole, and the ``most_domains`` most frequent labels.  Its tokens are the
-    ``most_tokens`` whose presence depends most on the domain, by the likelihood ratio, among
-    those in ``least_rows`` documents or more; so the model is bounded whatever the input.
+    ``most_tokens`` whose presence depends most on the domain, by the logarithm of the
+    likelihood ratio, among those in ``least_rows`` documents or more and with ``least_gain`` or
+    more, which chance hardly gives; so the model is bounded whatever the input.
     """
     ids = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(fit_rows)
     rows = (
@@ -67,7 +70,8 @@ def fit_classifier(spark, docs, labelled, fit_rows=20_000, most_tokens=256, leas
         share = sizes[d] / total
         n = F.col(f"n{i}").cast("double")
         gain += term(n, F.col("found") * share) + term(sizes[d] - n, (total - F.col("found")) * share)
-    best = table.orderBy(F.desc(F.round(gain, 6)), "token").limit(most_tokens).collect()
+    gain = F.round(gain, 6)
+    best = table.where(gain >= least_gain).orderBy(F.desc(gain), "token").limit(most_tokens).collect()
     names = [r.token for r in best]
     n = np.array([[r[f"n{i}"] for r in best] for i in range(len(domains))], float).reshape(len(domains), -1) + 0.5
     weights = np.log(n / n.sum(axis=1, keepdims=True)) if names else n
