@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from confwarden import fixed
 from confwarden.functions import expand_template
-from confwarden.operators.lookup import only_found
+from confwarden.operators.lookup import not_found, only_found
 
 CLIENT_KEY = ["realm", "client_uuid"]
 NAME_KEY = ["realm", "client_id"]
@@ -46,7 +46,7 @@ def clients_in_scope(
 
 def pending(df: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key has not been done.  The done side is reduced to distinct keys first."""
-    return df.join(done.select(*key).distinct(), key, "left_anti")
+    return not_found(df, done.select(*key).distinct(), key)
 
 
 def needs_patch(

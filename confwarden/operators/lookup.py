@@ -34,3 +34,8 @@ def only_found(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     """The rows whose key is in ``found``, by the same kind of join: one client may own a
     third of all policies."""
     return _join(rows, found, key, "left_semi")
+
+
+def not_found(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is not in ``found``: one tenant may own a third of all clients."""
+    return _join(rows, found, key, "left_anti")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from confwarden import fixed
 from confwarden.functions import clean_ids, decode_assoc_ids, decode_role_ids, first_with_ids
+from confwarden.session import land, work_folder
 
 POLICY_KEY = ["realm", "client_uuid", "policy_id"]
 PERMISSION_KEY = ["realm", "client_uuid", "permission_id"]
@@ -64,9 +65,10 @@ def complete_role_refs(policies: DataFrame, details: DataFrame) -> DataFrame:
 
     The detail record holds the list as text in its configuration or as a plain array; the
     first of these with a usable id counts.  Only policies that lack references are joined,
-    so the rest, normally nearly all, is not shuffled.
+    so the rest, normally nearly all, is not shuffled.  The narrow edges are landed: both
+    sides are taken from there, and the policies are read and decoded once.
     """
-    edges = _explode(policies, "role_ids", "role_id")
+    edges = land(_explode(policies, "role_ids", "role_id"), work_folder(policies.sparkSession, "role-edges"))
     bare = edges.filter(F.col("role_id").isNull()).drop("refs", "role_id")
     found = details.select(
         *POLICY_KEY,
@@ -84,9 +86,12 @@ def complete_assoc_refs(permissions: DataFrame, associations: DataFrame) -> Data
     association table.
 
     That table holds edges, which are not collected into lists, so ``refs`` is left for
-    the verdict to count.
+    the verdict to count.  The listed edges are landed, as those of roles are.
     """
-    edges = _explode(permissions, "policy_ids", "policy_id").drop("refs")
+    edges = land(
+        _explode(permissions, "policy_ids", "policy_id").drop("refs"),
+        work_folder(permissions.sparkSession, "assoc-edges"),
+    )
     bare = edges.filter(F.col("policy_id").isNull()).drop("policy_id")
     usable = associations.select(*PERMISSION_KEY, "policy_id").filter(
         F.col("policy_id").isNotNull() & (F.col("policy_id") != "")

@@ -135,7 +135,9 @@ _SQL = {
         SELECT CAST(o_orderkey AS VARCHAR) AS policy_id, CAST(l_partkey AS VARCHAR) AS role_id
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     "decode_assoc_refs": "SELECT permission_id, CAST(policy_id AS VARCHAR) AS policy_id FROM assoc",
-    "explode_refs": "SELECT * FROM ref",
+    "explode_refs": """
+        SELECT l_orderkey AS policy_id, count(*) OVER (PARTITION BY l_orderkey) AS refs, l_partkey AS role_id
+        FROM lineitem""",
     "map_upsert": """
         SELECT event_id, 'k' AS key, props ->> '$.k' AS value FROM events
         UNION ALL SELECT event_id, 'k2', 'true' FROM events""",
@@ -248,12 +250,12 @@ _SQL = {
     "replay_dedup": "SELECT resource_path FROM plan",
     # Functions
     "scalar_functions": """
-        SELECT event_id, CAST(3 AS BIGINT) AS n_ids,
+        SELECT event_id, CAST(CASE WHEN event_type = 'view' THEN 2 ELSE 3 END AS BIGINT) AS n_ids,
                event_type IN ('signup', 'purchase') AS matches,
                CAST(props ->> '$.k' AS BIGINT) AS k,
                concat('{"id":', event_id, '}') AS as_text,
                concat(upper(event_type), ',', user_id) AS joined,
-               false AS is_array,
+               event_type = 'click' AS is_array,
                CASE WHEN event_type = 'view' THEN 'none' ELSE event_type END AS or_else,
                concat(event_id, chr(9), event_type) AS tsv,
                props ->> '$.k' AS k_text,
@@ -286,6 +288,22 @@ _SQL = {
                count(*) FILTER (CAST(target_id AS BIGINT) % 3 = 2) AS delete_failures
         FROM (SELECT target_id FROM plan
               WHERE phase = '1' AND client_uuid IN (SELECT client_uuid FROM audited)) AS attempted""",
+    "rejected_tenants": """
+        SELECT n_name AS realm, 'role' AS entity, count(DISTINCT role_id) + 1 AS expected,
+               count(DISTINCT role_id) AS actual, 'incomplete' AS reason
+        FROM nation LEFT JOIN role ON realm = n_name WHERE n_regionkey = 2 AND n_name <> 'NATION_0' GROUP BY 1
+        UNION ALL
+        SELECT n_name, 'policy', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'not announced'
+        FROM nation WHERE n_regionkey = 3 AND n_name <> 'NATION_0'""",
+    "audit_guarded": """
+        SELECT s.realm, s.client_id, f.phase, f.target_id, o.o_orderpriority AS name
+        FROM (SELECT client_uuid, '1' AS phase, CAST(policy_id AS VARCHAR) AS target_id, policy_id AS named FROM dead
+              UNION ALL
+              SELECT d.client_uuid, concat('2-', d.ptype), d.permission_id, min(a.policy_id)
+              FROM deadperm d JOIN assoc a ON a.permission_id = d.permission_id GROUP BY 1, 2, 3) f
+        JOIN scope s ON s.client_uuid = f.client_uuid AND s.segment = 'building'
+        JOIN orders o ON o.o_orderkey = f.named
+        WHERE s.realm IN (SELECT n_name FROM nation WHERE n_regionkey NOT IN (2, 3))""",
     "audit_plan": """
         SELECT resource_path, phase, 'delete' AS action, false AS apply,
                CAST((row_number() OVER (PARTITION BY realm, client_uuid, phase
@@ -304,12 +322,18 @@ _SQL = {
                CAST(policy_id AS VARCHAR) AS policy_id, refs FROM dead""",
     "stream_permissions": """
         SELECT realm, CAST(client_uuid AS VARCHAR) AS client_uuid, permission_id, ptype, refs FROM deadperm""",
+    "stream_plan": """
+        SELECT resource_path, phase, false AS apply,
+               CAST((row_number() OVER (PARTITION BY realm, client_uuid, phase
+                                        ORDER BY left(md5(target_id), 2), target_id) - 1) // 50 AS BIGINT) AS batch_no
+        FROM plan""",
     "stream_cursors": """
         SELECT c.realm, CAST(c.client_uuid AS VARCHAR) AS client_uuid, '1' AS phase,
                concat('phase=1;offset=', count(*)) AS cursor
         FROM orders o JOIN client c ON c.client_uuid = o.o_custkey
         WHERE o.o_orderstatus <> 'P' AND c.authz_enabled AND c.realm <> 'NATION_0' GROUP BY 1, 2""",
 }
+_SQL["stream_late_policies"] = _SQL["stream_permissions"]
 _SQL["stream_sticky"] = _SQL["sticky_flag"]
 
 ORACLES = {name: BASE + sql for name, sql in _SQL.items()}

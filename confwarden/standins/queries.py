@@ -32,12 +32,14 @@ from confwarden.plans.token_mode import patch_clients, plan_token_mode
 from confwarden.session import land, work_folder
 from confwarden.sinks import append_ledger, cursors, done_rows, unseen, write_plan
 from confwarden.sources import explode_targets, incomplete_exports, read_pages
+from confwarden.sources.guard import ENTITY_KEYS
 from confwarden.standins import entities as e
 from confwarden.streaming import (
     page_stream,
     read_batches,
     stream_dead_permissions,
     stream_dead_policies,
+    stream_plan,
     stream_sticky_flag,
 )
 
@@ -117,10 +119,10 @@ def scan_json_pages(spark, sf):
 
 @query
 def scan_policies_by_type(spark, sf):
-    orders = e.table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P")
-    return orders.select(
-        F.col("o_orderkey").alias("policy_id"), F.col("o_custkey").alias("client_uuid")
+    orders = e.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS policy_id", "o_custkey AS client_uuid", f"{e.POLICY_TYPE} AS type"
     )
+    return refs.policies_of_type(orders, fixed.ROLE_POLICY).select("policy_id", "client_uuid")
 
 
 @query
@@ -270,7 +272,9 @@ def decode_assoc_refs(spark, sf):
 
 @query
 def explode_refs(spark, sf):
-    return e.refs(spark, sf)
+    """Every order's list of parts, one row per entry."""
+    lists = e.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("policy_id"))
+    return refs.explode_refs(lists.agg(F.collect_list("l_partkey").alias("role_ids")))
 
 
 @query
@@ -598,7 +602,9 @@ def replay_dedup(spark, sf):
 @query
 def scalar_functions(spark, sf):
     """The remaining scalar functions, on every event."""
-    ids = F.split(F.concat_ws(",", "event_type", F.lit(""), F.col("user_id")), ",")
+    blank = F.when(F.col("event_type") != "view", "")
+    ids = F.split(F.concat_ws(",", "event_type", blank, F.col("user_id")), ",")
+    listed = F.when(F.col("event_type") == "click", F.concat(F.lit("["), "props", F.lit("]")))
     kept = F.filter(ids, lambda x: x != "")
     untidy = F.concat(F.lit("\t "), F.col("event_type"), F.lit(" \n"))
     phase = F.when(F.col("event_type") == "click", "2-scope").when(
@@ -613,7 +619,7 @@ def scalar_functions(spark, sf):
         F.from_json("props", "k long")["k"].alias("k"),
         F.to_json(F.struct(F.col("event_id").alias("id"))).alias("as_text"),
         F.array_join(F.transform(kept, F.upper), ",").alias("joined"),
-        F.startswith(F.col("props"), F.lit("[")).alias("is_array"),
+        F.startswith(F.coalesce(listed, "props"), F.lit("[")).alias("is_array"),
         F.coalesce(F.nullif(F.col("event_type"), F.lit("view")), F.lit("none")).alias("or_else"),
         tab_separated(F.col("event_id"), F.col("event_type")).alias("tsv"),
         F.from_json("props", "map<string,string>")["k"].alias("k_text"),
@@ -673,6 +679,53 @@ def _audit(spark, sf):
     )
 
 
+def _guarded(spark, sf):
+    """An audit with a manifest: one region announces more roles than came, one no policies."""
+    folder = work_folder(spark, "guarded")
+    delivered = {
+        "client": e.client_documents(spark, sf),
+        "role": e.role_documents(spark, sf),
+        "policy": land(
+            e.policy_documents(spark, sf).unionByName(e.permission_documents(spark, sf)), f"{folder}/policy"
+        ),
+        "permission_assoc": e.association_documents(spark, sf),
+    }
+    tenants = e.table(spark, sf, "nation").selectExpr("n_name AS realm", "n_regionkey AS region")
+
+    def announced(name):
+        n = delivered[name].groupBy("realm").agg(F.countDistinct(*ENTITY_KEYS[name]).alias("n"))
+        return tenants.join(n, "realm", "left").selectExpr(
+            "realm", "region", f"'{name}' AS entity", "coalesce(n, 0L) AS n"
+        )
+
+    manifest = reduce(DataFrame.unionByName, map(announced, delivered)).filter(
+        (F.col("region") != 3) | (F.col("entity") != "policy")
+    )
+    more = "n + if(region = 2 AND entity = 'role', 1L, 0L) AS expected"
+    return audit(
+        Entities(
+            realms=tenants.select("realm"),
+            clients=delivered["client"],
+            roles=delivered["role"],
+            policies=delivered["policy"],
+            associations=delivered["permission_assoc"],
+            manifest=land(manifest.selectExpr("realm", "entity", more), f"{folder}/manifest"),
+        ),
+        AuditConfig(pattern=PATTERN, reserved=e.RESERVED),
+    )
+
+
+@query
+def rejected_tenants(spark, sf):
+    return _guarded(spark, sf).rejected.select("realm", "entity", "expected", "actual", "reason")
+
+
+@query
+def audit_guarded(spark, sf):
+    """The named findings of an audit that leaves out tenants whose export is not whole."""
+    return _guarded(spark, sf).findings.select("realm", "client_id", "phase", "target_id", "name")
+
+
 @query
 def audit_plan(spark, sf):
     """The delete plan of the same audit, with its batches."""
@@ -752,6 +805,37 @@ def stream_permissions(spark, sf):
     return found.select("realm", "client_uuid", "permission_id", F.col("type").alias("ptype"), "refs")
 
 
+def _late_policies(spark, sf):
+    """Findings of streams in which permissions arrive a run before all policies."""
+    folder = work_folder(spark, "stream")
+    pages = _json_pages(e.permission_documents(spark, sf), f"{folder}/permission")
+    associations = land(e.association_documents(spark, sf), f"{folder}/association")
+    scope = clients.authz_clients(clients.drop_reserved(e.client_documents(spark, sf), e.RESERVED))
+    scope = land(scope.select(*CLIENT_KEY, "client_id"), f"{folder}/early")
+    nothing = spark.createDataFrame([], "realm string, client_uuid string, policy_id string, refs long")
+
+    def permissions(dead):
+        arrived = page_stream(spark, "policy", pages, files_per_batch=4)
+        return stream_dead_permissions(arrived, scope, dead, folder, "run-1", associations)
+
+    permissions(nothing)
+    dead = land(_policy_stream(spark, sf, folder)[0], f"{folder}/dead")
+    return dead, permissions(dead)
+
+
+@query
+def stream_late_policies(spark, sf):
+    found = _late_policies(spark, sf)[1]
+    return found.select("realm", "client_uuid", "permission_id", F.col("type").alias("ptype"), "refs")
+
+
+@query
+def stream_plan_(spark, sf):
+    """The delete plan of all that has landed."""
+    plan = stream_plan(*_late_policies(spark, sf))
+    return plan.select("resource_path", "phase", "apply", "batch_no")
+
+
 @query
 def stream_cursors(spark, sf):
     """How far the policy phase has read, from the ledger its batches wrote."""

@@ -5,6 +5,7 @@ from confwarden.streaming.phases import (
     read_batches,
     stream_dead_permissions,
     stream_dead_policies,
+    stream_plan,
 )
 from confwarden.streaming.sticky import stream_sticky_flag
 
@@ -13,5 +14,6 @@ __all__ = [
     "read_batches",
     "stream_dead_permissions",
     "stream_dead_policies",
+    "stream_plan",
     "stream_sticky_flag",
 ]

@@ -18,7 +18,8 @@ from confwarden.operators.clients import CLIENT_KEY
 from confwarden.operators.liveness import dead_permissions, dead_policies
 from confwarden.operators.lookup import only_found
 from confwarden.operators.refs import policies_of_type
-from confwarden.plans.audit import permission_edges, role_edges
+from confwarden.operators.batches import number_batches
+from confwarden.plans.audit import all_findings, delete_plan, permission_edges, role_edges
 from confwarden.sinks.tables import write_batch
 
 
@@ -137,3 +138,11 @@ def stream_dead_permissions(
         phase,
     )
     return dead_permissions(edges, dead, "type", prune=True)
+
+
+def stream_plan(
+    policies: DataFrame, permissions: DataFrame, batch_size: int = fixed.BATCH_SIZE, dry_run: bool = True
+) -> DataFrame:
+    """The delete plan of both phases' verdicts, with its batches; replace an earlier run's."""
+    planned = delete_plan(all_findings(policies, permissions), dry_run)
+    return number_batches(planned, [*CLIENT_KEY, "phase"], "target_id", batch_size)
