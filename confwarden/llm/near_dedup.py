@@ -111,25 +111,17 @@ def _verified(spark, sets, pairs, percent):
     return land(both.mapInArrow(_confirm(percent), "a long, b long"), work_folder(spark, "confirmed"))
 
 
-def _halved(batches):
-    """Sets by the upper half of their hashes: all shingles, half the bytes."""
-    for batch in w.slices(batches, 4):
-        full = (np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist())
-        half = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in full]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(half, pa.binary())], batch.schema.names)
+def _links(percent):
+    """Links between different components in one block of a bucket, by full sets.
 
-
-def _screen(percent):
-    """Pairs of different components in one block of a bucket that may be similar enough.
-
-    Halved hashes can only make sets more alike, up to a rounding that one percent covers.
-    One pair is given for each stray and component; all are confirmed by full sets.
+    All pairs are compared.  Of those that are similar enough, one is given for each stray and
+    component: any of them joins the two.
     """
 
     def run(table):
         stray = table.column("stray").to_numpy(zero_copy_only=False)
         ids, labels = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
-        sets = [np.frombuffer(x, np.uint32) for x in table.column("members").to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
         left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
         found = {}
         if len(left) and len(right):
@@ -140,7 +132,7 @@ def _screen(percent):
             for j in right:
                 at = np.minimum(np.searchsorted(vocabulary, sets[j]), len(vocabulary) - 1)
                 both = holds[at[vocabulary[at] == sets[j]]].sum(axis=0, dtype=np.int64)
-                ok = 100 * both >= (percent - 1) * (sizes[left] + sizes[j] - both)
+                ok = 100 * both >= percent * (sizes[left] + sizes[j] - both)
                 for i in left[ok & (labels[left] != labels[j])]:
                     found.setdefault((ids[i], labels[j]), ids[j])
         a = np.array([x[0] for x in found], np.int64)
@@ -155,12 +147,12 @@ def _blocks(size, shingles):
     return F.ceil(F.greatest(size / F.lit(BLOCK_ROWS), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
 
 
-def _stray_pairs(spark, sets, members, labels, percent):
-    """Pairs of different components that share a bucket and may be similar enough.
+def _stray_links(spark, sets, members, labels, percent):
+    """Links between different components that share a bucket.
 
     In a bucket of several components, every document outside its largest one (a stray) meets
     all others, block by block: strays and documents are dealt into blocks of bounded size,
-    and only pairs that pass leave a block.
+    and only links leave a block.
     """
     named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("label")
@@ -191,10 +183,6 @@ def _stray_pairs(spark, sets, members, labels, percent):
     rows = (
         named.select("doc_id", "bucket", "label", "place")
         .join(sets.hint("merge"), "doc_id")
-        .mapInArrow(
-            _halved,
-            "doc_id long, bucket long, label long, place struct<main:long,blocks:int,chunks:int>, members binary",
-        )
         .select("doc_id", "bucket", "label", "place.*", "members")
     )
     deal = F.xxhash64("doc_id")
@@ -206,7 +194,7 @@ def _stray_pairs(spark, sets, members, labels, percent):
     strays = rows.where("label <> main").withColumn("block", F.pmod(deal, "blocks").cast("int")).withColumn("chunk", every("chunks"))
     others = rows.withColumn("chunk", F.pmod(deal, "chunks").cast("int")).withColumn("block", every("blocks"))
     both = dealt(strays, True, F.col("block"), F.col("chunk")).union(dealt(others, False, F.col("block"), F.col("chunk")))
-    pairs = both.groupBy("bucket", "block", "chunk").applyInArrow(_screen(percent), "a long, b long")
+    pairs = both.groupBy("bucket", "block", "chunk").applyInArrow(_links(percent), "a long, b long")
     return land(pairs.distinct(), work_folder(spark, "pairs"))
 
 
@@ -266,12 +254,10 @@ def near_duplicates(spark, docs, k=3, percent=85, bands=BANDS, rows=ROWS, id_col
     )
     links = _verified(spark, sets, pairs, percent)
     labels = land(components(spark, links), work_folder(spark, "labels"))
-    rest = _stray_pairs(spark, sets, members.select("bucket", "doc_id", "n"), labels, percent)
-    if rest is not None:
-        more = _verified(spark, sets, rest.join(pairs, ["a", "b"], "left_anti"), percent)
-        if not more.isEmpty():
-            joined = labels.select("node", "component").union(more)
-            labels = land(components(spark, joined), work_folder(spark, "labels"))
+    more = _stray_links(spark, sets, members.select("bucket", "doc_id", "n"), labels, percent)
+    if more is not None and not more.isEmpty():
+        joined = labels.select("node", "component").union(more)
+        labels = land(components(spark, joined), work_folder(spark, "labels"))
     named = land(
         classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "digest", F.coalesce("component", "doc_id").alias("component_id")

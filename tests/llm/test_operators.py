@@ -123,6 +123,24 @@ def test_links_do_not_rest_on_a_centre(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+def test_a_component_is_held_against_a_stray_as_a_whole(spark):
+    """Families in which only the last of 41 mates is near enough to a document outside."""
+    rows = []
+    for f in range(5):
+        base = [f"f{f}w{i}" for i in range(202)]
+
+        def edited(places, mark, base=base):
+            return " ".join(f"{mark}{i}" if i in places else x for i, x in enumerate(base))
+
+        free = [i for i in range(4, 198) if all(abs(i - j) > 3 for j in (40, 80, 120, 160))]
+        rows += [(1000 * f + n, edited({free[4 * n]}, f"f{f}c{n}_")) for n in range(40)]
+        rows += [(1000 * f + 500, " ".join(base)), (1000 * f + 600, edited({1, 40, 80, 120, 160}, f"f{f}s"))]
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_groups(rows, 3, 85)
+    assert sum(v[2] for v in want.values()) == 5
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
 def test_signatures_estimate_similarity():
     order = near_dedup.donors(240)
     rng = np.random.default_rng(1)
