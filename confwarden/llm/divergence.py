@@ -1,6 +1,8 @@
 """Quality rules: Jensen-Shannon distance of a document to the references of its language."""
 
+import json
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from confwarden.llm import words as w
+from confwarden.session import land, work_folder
 
 #: Character classes, in the order of the histograms.
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
@@ -29,6 +32,8 @@ _CLASS_OF[128:192] = 7  # the rest of a character that has been counted
 _CONTINUATION = bytes(range(128, 192))
 
 FLUSH = 200_000
+#: References that a task holds unpacked at once.
+HELD = 1000
 
 
 def histogram(text):
@@ -114,84 +119,136 @@ def _count(batches):
     yield flush()
 
 
+def _pack(batches):
+    """The parts of each reference as one short binary, ordered so that equal ones are equal."""
+    for batch in batches:
+        packed = []
+        for parts in batch.column(1).to_pylist():
+            rows = sorted((p["kind"], p["item"].decode("latin-1"), p["n"]) for p in parts)
+            packed.append(zlib.compress(json.dumps(rows).encode()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "reference"])
+
+
 def language_references(docs, share=0.002, least_words=1000, lang_col="lang", text_col="text"):
-    """The reference of each language: its common words and its character classes.
+    """``lang, reference`` of each language: its common words and its character classes.
 
     Counts cover every row.  A common word makes up ``share`` of its language's words at
     least, so a language has at most 1 / share of them; a language has a reference if it has
-    ``least_words`` words and ``share`` of all words, so there are at most 1 / share of those.
-    Both bounds hold whatever the input, and only what is within them reaches the driver.
+    ``least_words`` words, whatever else ``docs`` holds.  The references stay a table.
     """
-    counts = (
+    spark = docs.sparkSession
+    counts = land(
         docs.where(F.col(lang_col).isNotNull())
         .select(F.col(lang_col).cast("string"), F.col(text_col))
         .mapInArrow(_count, "lang string, kind int, item binary, n long")
         .groupBy("lang", "kind", "item")
-        .agg(F.sum("n").alias("n"))
-    ).persist()
-    totals = counts.where("kind = 2")
-    words = totals.agg(F.sum("n")).first()[0] or 0
-    chosen = totals.where((F.col("n") >= least_words) & (F.col("n") >= share * words)).select(
-        "lang", F.col("n").alias("total")
-    )
-    kept = (
-        counts.join(F.broadcast(chosen), "lang")
-        .where((F.col("kind") != 0) | (F.col("n") >= share * F.col("total")))
-        .collect()
+        .agg(F.sum("n").alias("n")),
+        work_folder(spark, "counts"),
     )
-    counts.unpersist()
-    found = {}
-    for r in sorted(kept, key=lambda r: (r.lang, r.kind, bytes(r.item))):
-        ref = found.setdefault(r.lang, {"words": {}, "classes": np.zeros(7), "total": r.total})
-        if r.kind == 0:
-            ref["words"][bytes(r.item)] = r.n
-        elif r.kind == 1:
-            ref["classes"][int(r.item)] = r.n
-    return found
-
-
-class References:
-    """References in the form in which documents are held against them."""
-
-    def __init__(self, found):
-        self.by = {}
-        for lang, r in found.items():
-            index = {x: i for i, x in enumerate(r["words"])}
-            counts = np.array([*r["words"].values(), 0], float)
-            counts[-1] = r["total"] - counts.sum()
-            self.by[lang] = index, counts, r["classes"]
-
-    def distances(self, lang, text, words):
-        """Character and word distance to the language, or else to the nearest reference."""
-        chars, total = histogram(text), Counter(words)
-        return min(
-            (self._one(r, chars, total, len(words)) for r in ([self.by[lang]] if lang in self.by else self.by.values())),
-            key=sum,
-            default=(0.0, 0.0),
-        )
-
-    @staticmethod
-    def _one(reference, chars, total, n):
-        index, counts, classes = reference
-        own = np.zeros(len(counts))
-        for x in total.keys() & index.keys():
-            own[index[x]] = total[x]
+    chosen = counts.where((F.col("kind") == 2) & (F.col("n") >= least_words)).select("lang", F.col("n").alias("total"))
+    kept = counts.join(chosen, "lang").where((F.col("kind") != 0) | (F.col("n") >= share * F.col("total")))
+    parts = kept.groupBy("lang").agg(F.collect_list(F.struct("kind", "item", "n")).alias("parts"))
+    return land(parts.mapInArrow(_pack, "lang string, reference binary"), work_folder(spark, "references"))
+
+
+class Reference:
+    """A reference in the form in which documents are held against it."""
+
+    def __init__(self, packed):
+        rows = json.loads(zlib.decompress(packed))
+        words = {x.encode("latin-1"): n for kind, x, n in rows if kind == 0}
+        self.index = {x: i for i, x in enumerate(words)}
+        self.counts = np.array([*words.values(), 0], float)
+        self.counts[-1] = sum(n for kind, _, n in rows if kind == 2) - self.counts.sum()
+        self.classes = np.zeros(7)
+        for kind, x, n in rows:
+            if kind == 1:
+                self.classes[int(x)] = n
+
+    def distances(self, chars, total, n):
+        """Character and word distance of a document of ``n`` words."""
+        own = np.zeros(len(self.counts))
+        for x in total.keys() & self.index.keys():
+            own[self.index[x]] = total[x]
         own[-1] = n - own.sum()
         return (
-            distance(chars, classes) if chars.sum() and classes.sum() else 0.0,
-            distance(own, counts) if n and counts.sum() else 0.0,
+            distance(chars, self.classes) if chars.sum() and self.classes.sum() else 0.0,
+            distance(own, self.counts) if n and self.counts.sum() else 0.0,
+        )
+
+
+def _unpacked(held, packed):
+    if packed not in held:
+        if len(held) >= HELD:
+            held.clear()
+        held[packed] = Reference(packed)
+    return held[packed]
+
+
+def _hold(batches):
+    """Distances of each text to the reference beside it."""
+    held, last, own = {}, None, None
+    for batch in w.slices(batches, 1, 2):
+        rows = []
+        for text, packed in zip(w.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            if text != last:
+                words = common_form(text)
+                last, own = text, (histogram(text), Counter(words), len(words))
+            rows.append(_unpacked(held, packed).distances(*own))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 2
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["key", "char_d", "word_d"]
         )
 
 
-def _judge(found, rules):
+def _beside(docs, references, lang_col, text_col):
+    """``docs`` with the reference of their language, or the least distances where it is null."""
+    spark = docs.sparkSession
+    named = references.select(F.col("lang").alias("__lang"), F.col("reference").alias("__reference"))
+    none = F.lit(None).cast("double")
+    known = (
+        docs.join(named, F.col(lang_col).cast("string") == F.col("__lang"), "left")
+        .drop("__lang")
+        .withColumn("__char", none)
+        .withColumn("__word", none)
+    )
+    unknown = docs.where(F.col(lang_col).isNull())
+    if unknown.isEmpty():
+        return known
+    key = F.sha2(F.col(text_col).cast("binary"), 256)
+    texts = unknown.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).alias("text"))
+    nearest = land(
+        texts.crossJoin(references.select("reference"))
+        .mapInArrow(_hold, "key string, char_d double, word_d double")
+        .groupBy("key")
+        .agg(F.min(F.struct((F.col("char_d") + F.col("word_d")).alias("sum"), "char_d", "word_d")).alias("d"))
+        .select(F.col("key").alias("__key"), F.col("d.char_d").alias("__char"), F.col("d.word_d").alias("__word")),
+        work_folder(spark, "nearest"),
+    )
+    near = (
+        unknown.join(nearest, key == F.col("__key"), "left")
+        .drop("__key")
+        .withColumn("__reference", F.lit(None).cast("binary"))
+    )
+    return known.where(F.col(lang_col).isNotNull()).unionByName(near)
+
+
+def _judge(rules):
+    """Verdicts from id, text, reference, and distances where these are known already."""
+
     def run(batches):
-        references = References(found)
-        for batch in w.slices(batches, 2):
+        held = {}
+        for batch in w.slices(batches, 1, 2):
             rows = []
-            for lang, text in zip(batch.column(1).to_pylist(), w.texts(batch.column(2)), strict=True):
+            packed, *near = (c.to_pylist() for c in batch.columns[2:])
+            for text, reference, char_d, word_d in zip(w.texts(batch.column(1)), packed, *near, strict=True):
                 base = base_counts(text)
                 words = common_form(text)
-                char_d, word_d = references.distances(lang, text, words)
+                if reference is not None:
+                    own = histogram(text), Counter(words), len(words)
+                    char_d, word_d = _unpacked(held, reference).distances(*own)
+                elif char_d is None:
+                    char_d, word_d = 0.0, 0.0
                 failed = base[0] < rules["least_base_words"] or 100 * base[4] > rules["repeat_percent"] * base[0]
                 far = (base[1] >= rules["least_chars"] and char_d > rules["most_char_distance"]) or (
                     len(words) >= rules["least_words"] and word_d > rules["most_word_distance"]
@@ -231,30 +288,33 @@ def quality_verdicts(docs, references=None, id_col="doc_id", lang_col="lang", te
     with one bin for all other words, are held against the references of its language (see
     ``language_references``) by Jensen-Shannon distance, 0 to 1.  A document fails above a
     limit; it is not held against a histogram for which it is shorter than ``least_chars``
-    (in words) or ``least_words``.  A null or unknown language is compared with every
-    reference and the nearest counts; without references both distances are 0.  Null and
-    empty texts have no words and fail by ``least_base_words``.  Rows that repeat are judged
-    alike, a null id stays null.
+    (in words) or ``least_words``.  A null language is compared with every reference and the
+    nearest counts; a language without a reference is judged by the base rules alone, its
+    distances are 0.  Null and empty texts have no words and fail by ``least_base_words``.
+    Rows that repeat are judged alike, a null id stays null.
     """
     found = language_references(docs, lang_col=lang_col, text_col=text_col) if references is None else references
-    return docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(
-        _judge(found, {**DEFAULTS, **rules}), SCHEMA
-    )
+    rows = _beside(docs, found, lang_col, text_col)
+    return rows.select(
+        F.col(id_col).cast("long"), F.col(text_col), "__reference", "__char", "__word"
+    ).mapInArrow(_judge({**DEFAULTS, **rules}), SCHEMA)
 
 
 def keep_quality(docs, references=None, id_col="doc_id", lang_col="lang", text_col="text", **rules):
-    """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns, unmoved."""
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns."""
     found = language_references(docs, lang_col=lang_col, text_col=text_col) if references is None else references
-    lang_at, text_at = docs.columns.index(lang_col), docs.columns.index(text_col)
-    judge = _judge(found, {**DEFAULTS, **rules})
+    names, text_at = docs.columns, docs.columns.index(text_col)
+    judge = _judge({**DEFAULTS, **rules})
 
     def run(batches):
         for batch in w.slices(batches, text_at):
-            lang = batch.column(lang_at).cast(pa.string())
             own = pa.RecordBatch.from_arrays(
-                [pa.nulls(batch.num_rows, pa.int64()), lang, batch.column(text_at)], ["id", "lang", "text"]
+                [pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at), *batch.columns[len(names) :]],
+                ["id", "text", "reference", "char", "word"],
             )
-            (verdict,) = judge([own])
-            yield batch.filter(verdict.column("kept"))
+            kept = [verdict.column("kept") for verdict in judge([own])]
+            rows = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names)
+            yield rows.filter(pa.concat_arrays(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = _beside(docs, found, lang_col, text_col)
+    return rows.select(*names, "__reference", "__char", "__word").mapInArrow(run, docs.schema)

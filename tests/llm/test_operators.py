@@ -277,6 +277,30 @@ def test_keep_quality_agrees(docs):
     assert sorted(ident(r.doc_id) for r in kept.select("doc_id").collect()) == sorted(ident(r.doc_id) for r in want.collect())
 
 
+def test_rare_languages_are_not_judged_by_others(spark):
+    """0.2 % of all words, few words, no language: each held against its own or the nearest."""
+    rng = np.random.default_rng(9)
+
+    def clean(mark, n):
+        return " ".join(f"{mark}{i}" for i in rng.integers(0, 50, n))
+
+    rows = [(i, "hot", clean("h", 300_000)) for i in range(4)]
+    rows += [(10 + i, "rare", clean("r", 300)) for i in range(6)]
+    rows += [(20, "rare", " ".join(f"q{i}" for i in range(300))), (30, "few", clean("f", 300))]
+    rows += [(40, None, rows[4][2]), (41, None, rows[4][2]), (42, None, rows[10][2]), (43, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in divergence.quality_verdicts(docs).collect()}
+    assert all(got[i].kept and 0 < got[i].word_distance < 0.35 for i in range(10, 16))
+    assert not got[20].kept and got[20].word_distance > 0.35
+    assert got[30].kept and (got[30].char_distance, got[30].word_distance) == (0, 0)
+    for i, same in ((40, 10), (41, 10), (42, 20)):
+        assert got[i][1:] == got[same][1:]
+    assert len(got) == len(rows) and not got[43].kept
+    kept = divergence.keep_quality(docs).where("doc_id >= 10")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {*range(10, 16), 30, 40, 41}
+
+
 # Decontamination ----------------------------------------------------------------------
 @pytest.mark.parametrize("block_bytes", [1 << 23, 600])
 def test_contaminated(spark, docs, texts, block_bytes):
