@@ -6,6 +6,7 @@ from confwarden.llm import (
     chat_format,
     decontaminate,
     divergence,
+    fill_in_middle,
     langid,
     licenses,
     mixing,
@@ -107,3 +108,17 @@ def op10_language_id(spark, sf):
     return langid.held_out_predictions(spark, table(spark, sf, "documents")).select(
         "doc_id", "held_out", "lang_pred", "score", "languages"
     )
+
+
+@query
+def op11_fill_in_middle(spark, sf):
+    cut = fill_in_middle.fill_in_middle(table(spark, sf, "documents"), unit="line", seed=7, rate=100, spm=50)
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore("form", "output"), 256).alias("restored_sha256"),
+    )
