@@ -13,6 +13,7 @@ from confwarden.llm import (
     near_dedup,
     secret_scan,
     substrings,
+    toxicity,
     warc,
 )
 from confwarden.llm.ship import ship
@@ -122,3 +123,9 @@ def op11_fill_in_middle(spark, sf):
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_in_middle.restore("form", "output"), 256).alias("restored_sha256"),
     )
+
+
+@query
+def op13_toxicity(spark, sf):
+    scored = toxicity.held_out_scores(spark, table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
