@@ -12,6 +12,7 @@ from confwarden.llm import (
     mixing,
     near_dedup,
     secret_scan,
+    spelling,
     substrings,
     toxicity,
     warc,
@@ -125,6 +126,12 @@ def op11_fill_in_middle(spark, sf):
     )
 
 
+@query
+def op12_spelling_variants(spark, sf):
+    words = spelling.word_counts(table(spark, sf, "documents"), least_chars=7, least_n=2, noise=31)
+    return spelling.spelling_variants(spark, words, ratio=10)
+
+
 @query
 def op13_toxicity(spark, sf):
     scored = toxicity.held_out_scores(spark, table(spark, sf, "documents"), table(spark, sf, "labels"))
