@@ -98,6 +98,44 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM p
 """
 
+# CRC-32 is written out byte by byte; near words share what is left of them without one letter.
+SPELLING = r"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, x, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
+  WHERE length(x) >= 7 GROUP BY ALL),
+bytes AS (SELECT x, n, hex(encode(CAST(doc_id AS VARCHAR) || ':' || x)) AS b FROM runs),
+hashed AS (
+  SELECT x, n, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(b) // 2), lambda i: CAST('0x' || b[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, v: xor(crc.t[(xor(c, v) & 255) + 1], c >> 8))) AS h
+  FROM bytes, crc),
+noisy AS (
+  SELECT CASE WHEN h % 31 = 0 THEN x[1:h % length(x)] || x[h % length(x) + 2:] ELSE x END AS word, n FROM hashed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+rests AS (
+  SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM rests a JOIN rests b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM rests a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM rests a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form,
+    CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at, form AS further FROM formed
+  UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON formed.word = walk.further)
+SELECT f.word, f.form, walk.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN walk ON walk.word = f.word AND walk.further IS NULL
+"""
+
 
 def _secrets():
     """Each rule by its pattern: gaps and matches alternate, so their lengths give the places."""
@@ -138,4 +176,5 @@ ORACLES = {
     "op5_substring_dedup": REPEATS,
     "op9_warc": WARC,
     "op11_fill_in_middle": FILL,
+    "op12_spelling_variants": SPELLING,
 }
