@@ -153,42 +153,81 @@ def candidates(index, rules=RULES):
     return posted.select("doc_id", F.array_compact(F.array(*chosen)).alias("rules")).where(F.size("rules") > 0)
 
 
-def _spans(rule, order):
-    """Sorted spans of a rule in the column text: start, kind order, kind, end (code points)."""
+def _let(value, body):
+    """``body`` of a column that is computed once for each row, however often it is used.
+
+    Spark may write a column's expression wherever it is used, inside a lambda once for each element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(items, zero, step, block=64):
+    """What ``step`` makes of all items before each, one for each item, from ``zero``.
+
+    ``step(acc, item)`` adds an item; it has to be associative and to take a sum as an item by
+    ``step(acc, sum)``, so items are numbers.  Done in blocks: appending one by one to an array,
+    or adding up anew for each item, would take the square of their number.
+    """
+
+    def in_blocks(parts):
+        def total(acc, part):
+            return F.array_append(acc, step(F.element_at(acc, -1), F.aggregate(part, zero, step)))
+
+        heads = F.aggregate(parts, F.array(zero), total)
+        each = F.zip_with(
+            parts, F.slice(heads, 1, F.size(parts)), lambda part, head: F.transform(
+                part, lambda _, i: F.aggregate(F.slice(part, F.lit(1), i), head, step)
+            )
+        )
+        return F.flatten(each)
+
+    def cut(all_items):
+        first = F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / block).cast("int"))
+        return F.transform(first, lambda i: F.slice(all_items, i * block + 1, F.lit(block)))
+
+    return _let(items, lambda x: F.when(F.size(x) > 0, _let(cut(x), in_blocks)).otherwise(F.array().cast("array<int>")))
+
+
+STEPS = "array<struct<gap:int,size:int,value:int>>"
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
+def _steps(rule):
+    """The matches of a rule in the column text: characters since the last one, of it, of its value."""
     pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all("text", pattern, F.lit(0))
-    value = F.regexp_extract_all("text", pattern, F.lit(rule.value))
-    between = F.split("text", rule.pattern, -1)
-    steps = F.arrays_zip(
-        F.transform(found, F.length).alias("size"),
-        F.transform(value, F.length).alias("value"),
-        F.transform(F.slice(between, 1, F.size(found)), F.length).alias("gap"),
+
+    def measured(found):
+        between = F.slice(F.split("text", rule.pattern, -1), F.lit(1), F.size(found))
+        steps = F.zip_with(
+            between, found, lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("size"), F.length(x).alias("value"))
+        )
+        if rule.value:
+            values = F.regexp_extract_all("text", pattern, F.lit(rule.value))
+            steps = F.zip_with(
+                steps, values, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), F.length(v).alias("value"))
+            )
+        return F.when(F.size(found) > 0, steps).otherwise(F.array().cast(STEPS))
+
+    return _let(F.regexp_extract_all("text", pattern, F.lit(0)), measured)
+
+
+def _spans(ruled):
+    """The spans of the matches of one rule that have a value long enough."""
+    steps = ruled["steps"]
+    before = running(F.transform(steps, lambda x: x["gap"] + x["size"]), F.lit(0), lambda acc, x: acc + x)
+    good = F.filter(
+        F.zip_with(steps, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), x["size"].alias("size"), x["value"].alias("value"))),
+        lambda x: x["value"] >= ruled["least"],
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        return F.struct((begin + x["size"]).alias("at"), F.array_append(acc["starts"], begin).alias("starts"))
-
-    starts = F.aggregate(steps, start, step, lambda acc: acc["starts"])
-    spans = F.transform(
-        steps,
-        lambda x, i: F.struct(
-            F.get(starts, i).alias("start"),
-            F.lit(order).alias("rank"),
-            F.lit(rule.kind).alias("kind"),
-            (F.get(starts, i) + x["size"]).alias("end"),
-            x["value"].alias("value"),
+    return F.transform(
+        good,
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            ruled["rank"].alias("rank"),
+            ruled["kind"].alias("kind"),
+            (x["start"] + x["size"]).alias("end"),
         ),
     )
-    good = F.transform(
-        F.filter(spans, lambda s: s["value"] >= rule.least),
-        lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]),
-    )
-    return F.when(F.col("text").rlike(rule.pattern), good).otherwise(F.array().cast(SPANS))
-
-
-SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
 def find_secrets(spark, docs, rules=RULES, carry=(), id_col="doc_id", text_col="text"):
@@ -219,14 +258,18 @@ def find_secrets(spark, docs, rules=RULES, carry=(), id_col="doc_id", text_col="
         base = base.withColumn("rules", F.lit(None).cast("array<string>"))
     each = []
     for rank, rule in enumerate(rules):
-        if queries[rule.kind] is None:
-            each.append(_spans(rule, rank))
-        else:
+        steps = _steps(rule)
+        if queries[rule.kind] is not None:
             may = F.col("doc_id").isNull() | F.coalesce(F.array_contains("rules", rule.kind), F.lit(False))
-            each.append(F.when(may, _spans(rule, rank)).otherwise(F.array().cast(SPANS)))
+            steps = F.when(may, steps).otherwise(F.array().cast(STEPS))
+        each.append(
+            F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), steps.alias("steps"))
+        )
+    matched = F.filter(F.array(*each), lambda x: F.size(x["steps"]) > 0)
+    spans = F.array_sort(F.flatten(F.transform(matched, _spans))) if each else F.array()
     return base.select(
         "doc_id",
-        F.array_sort(F.concat(*each)).alias("secrets"),
+        spans.cast(SPANS).alias("secrets"),
         *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)],
     )
 
@@ -237,18 +280,32 @@ def span_text(spans):
     )
 
 
-def redact(text, spans, mark="[SECRET]"):
-    """``text`` with each span, or spans that overlap, replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(text, spans, mark="[SECRET]", block=1024):
+    """``text`` with each span, or spans that overlap, replaced by ``mark``.
+
+    Taken from blocks of the text: to find a place, Spark counts characters from the start.
+    """
 
-    def step(acc, s):
-        ahead = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], ahead, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(first, last, blocks):
+        """The characters ``first`` to ``last`` (exclusive)."""
+        low = F.floor(first / block).cast("int")
+        high = F.floor((last + block - 1) / block).cast("int")
+        near = F.array_join(F.slice(blocks, low + 1, F.greatest(high - low, F.lit(0))), "")
+        return F.substring(near, first - low * block + 1, last - first)
 
-    return F.aggregate(
-        spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    )
+    def joined(blocks):
+        before = running(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda acc, x: F.greatest(acc, x))
+        # A span that starts before the end of an earlier one belongs to that one's mark.
+        fresh = F.filter(
+            F.zip_with(spans, before, lambda x, at: F.struct(at.alias("from"), x["start"].alias("to"))),
+            lambda x: x["to"] >= x["from"],
+        )
+        pieces = F.transform(fresh, lambda x: F.concat(cut(x["from"], x["to"], blocks), F.lit(mark)))
+        end = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(end, F.length(text), blocks))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(parts, joined)).otherwise(text)
 
 
 def redact_documents(spark, docs):
@@ -264,7 +321,7 @@ def redact_documents(spark, docs):
     )
     any_found = F.size("secrets") > 0
     text = F.col(own["text"])
-    out = found.withColumn("clean", F.when(any_found, redact(text, F.col("secrets"))).otherwise(text))
+    out = found.withColumn("clean", redact(text, F.col("secrets")))
     columns = {c: F.col(n) for c, n in own.items()} | {"text": F.col("clean")}
     if "n_chars" in own:
         size = F.length("clean").cast(docs.schema["n_chars"].dataType)

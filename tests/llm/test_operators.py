@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -202,6 +203,42 @@ def test_short_values_hide_later_ones(spark):
     assert [(s.kind, text[s.start : s.end]) for s in row.secrets] == [("github", "ghp_" + "Ab1" * 12)]
 
 
+def test_many_secrets_in_one_text(spark):
+    """20,000 matches beside re: the time grows with their number, not with its square."""
+    rng = np.random.default_rng(12)
+    kinds = ["".join(rng.choice(list("0123456789abcdef"), 24 + i % 9)) for i in range(50)]
+    kinds += [f"token='é{i}" for i in range(5)] + [f"api_key = abcdef{i}ü" for i in range(5)] + ["AKIA" + "Z9" * 8, "ghp_" + "a1" * 18]
+    text = "".join(f"{kinds[i % len(kinds)]}{'é. '[: 1 + i % 3]}" for i in rng.permutation(20_000))
+    rows = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+    start = time.time()
+    (row,) = secret_scan.find_secrets(spark, rows).collect()
+    (clean,) = secret_scan.redact_documents(spark, rows).collect()
+    took = time.time() - start
+    want = []
+    for rank, rule in enumerate(secret_scan.RULES):
+        for m in re.finditer(rule.pattern, text):
+            if len(m[rule.value]) >= rule.least:
+                want.append((m.start(), rank, rule.kind, m.end()))
+    assert [tuple(s) for s in row.secrets] == sorted(want) and len(want) > 15_000
+    out, at = [], 0
+    for a, _, _, b in sorted(want):
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert clean.text == "".join([*out, text[at:]]) and clean.n_chars == len(clean.text)
+    assert took < 60
+
+
+def test_running(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 63, 64, 65, 129)] + [([5, -3, 9, 9, 1] * 40,)]
+    df = spark.createDataFrame(rows, "x array<int>").repartition(1)
+    total = secret_scan.running(F.col("x"), F.lit(0), lambda acc, x: acc + x)
+    top = secret_scan.running(F.col("x"), F.lit(0), lambda acc, x: F.greatest(acc, x))
+    for x, sums, tops in df.select("x", total, top).collect():
+        assert sums == [sum(x[:i]) for i in range(len(x))]
+        assert tops == [max([0, *x[:i]]) for i in range(len(x))]
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is None
     assert secret_scan.trigram_query("AKIA[A-Z0-9]{16,}") == ("and", "aki", "kia")
