@@ -34,6 +34,9 @@ _CONTINUATION = bytes(range(128, 192))
 FLUSH = 200_000
 #: References that a task holds unpacked at once.
 HELD = 1000
+#: Lengths in words at which chance is measured, and how many draws each.
+LENGTHS = (10, 20, 30, 50, 80, 120, 200, 400, 1000, 10_000)
+DRAWS = 100
 
 
 def histogram(text):
@@ -134,7 +137,8 @@ def language_references(docs, share=0.002, least_words=1000, lang_col="lang", te
 
     Counts cover every row.  A common word makes up ``share`` of its language's words at
     least, so a language has at most 1 / share of them; a language has a reference if it has
-    ``least_words`` words, whatever else ``docs`` holds.  The references stay a table.
+    ``least_words`` words, whatever else ``docs`` holds.  The references stay a table.  A language
+    with fewer words has none: 1,000 words give a word of the least share two occurrences.
     """
     spark = docs.sparkSession
     counts = land(
@@ -145,8 +149,10 @@ def language_references(docs, share=0.002, least_words=1000, lang_col="lang", te
         .agg(F.sum("n").alias("n")),
         work_folder(spark, "counts"),
     )
-    chosen = counts.where((F.col("kind") == 2) & (F.col("n") >= least_words)).select("lang", F.col("n").alias("total"))
-    kept = counts.join(chosen, "lang").where((F.col("kind") != 0) | (F.col("n") >= share * F.col("total")))
+    # A small table of its own: Spark sees its size and need not deal the counts by language.
+    totals = counts.where((F.col("kind") == 2) & (F.col("n") >= least_words))
+    totals = land(totals.select("lang", F.col("n").alias("total")), work_folder(spark, "totals"))
+    kept = counts.join(totals, "lang").where((F.col("kind") != 0) | (F.col("n") >= share * F.col("total")))
     parts = kept.groupBy("lang").agg(F.collect_list(F.struct("kind", "item", "n")).alias("parts"))
     return land(parts.mapInArrow(_pack, "lang string, reference binary"), work_folder(spark, "references"))
 
@@ -164,6 +170,7 @@ class Reference:
         for kind, x, n in rows:
             if kind == 1:
                 self.classes[int(x)] = n
+        self.curve = None
 
     def distances(self, chars, total, n):
         """Character and word distance of a document of ``n`` words."""
@@ -176,82 +183,89 @@ class Reference:
             distance(own, self.counts) if n and self.counts.sum() else 0.0,
         )
 
+    def chance(self, n, deviations=3):
+        """How far a text of ``n`` words drawn from the reference itself hardly ever is from it.
 
-def _unpacked(held, packed):
-    if packed not in held:
-        if len(held) >= HELD:
-            held.clear()
-        held[packed] = Reference(packed)
-    return held[packed]
+        The mean and ``deviations`` standard deviations of the word distance of such draws,
+        between ``LENGTHS`` by the logarithm of the length.  The draws are those of a fixed
+        seed, so every task comes to the same.
+        """
+        if not self.counts.sum():
+            return 0.0
+        if self.curve is None:
+            rng, share = np.random.default_rng(1), self.counts / self.counts.sum()
+            far = [[distance(x, self.counts) for x in rng.multinomial(k, share, DRAWS)] for k in LENGTHS]
+            self.curve = [np.mean(x) + deviations * np.std(x) for x in far]
+        return float(np.interp(math.log(max(n, 1)), np.log(LENGTHS), self.curve))
 
 
-def _hold(batches):
-    """Distances of each text to the reference beside it."""
-    held, last, own = {}, None, None
-    for batch in w.slices(batches, 1, 2):
-        rows = []
-        for text, packed in zip(w.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            if text != last:
-                words = common_form(text)
-                last, own = text, (histogram(text), Counter(words), len(words))
-            rows.append(_unpacked(held, packed).distances(*own))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 2
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["key", "char_d", "word_d"]
-        )
+def _references(block, held):
+    """The references of a block by language, unpacked when first asked for."""
 
+    def of(lang):
+        packed = block.get(lang)
+        if packed is None:
+            return None
+        if lang not in held:
+            if len(held) >= HELD:
+                held.clear()
+            held[lang] = Reference(packed)
+        return held[lang]
+
+    return of
 
-def _beside(docs, references, lang_col, text_col):
-    """``docs`` with the reference of their language, or the least distances where it is null."""
-    spark = docs.sparkSession
-    named = references.select(F.col("lang").alias("__lang"), F.col("reference").alias("__reference"))
-    none = F.lit(None).cast("double")
-    known = (
-        docs.join(named, F.col(lang_col).cast("string") == F.col("__lang"), "left")
-        .drop("__lang")
-        .withColumn("__char", none)
-        .withColumn("__word", none)
-    )
-    unknown = docs.where(F.col(lang_col).isNull())
-    if unknown.isEmpty():
-        return known
-    key = F.sha2(F.col(text_col).cast("binary"), 256)
-    texts = unknown.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).alias("text"))
-    nearest = land(
-        texts.crossJoin(references.select("reference"))
-        .mapInArrow(_hold, "key string, char_d double, word_d double")
-        .groupBy("key")
-        .agg(F.min(F.struct((F.col("char_d") + F.col("word_d")).alias("sum"), "char_d", "word_d")).alias("d"))
-        .select(F.col("key").alias("__key"), F.col("d.char_d").alias("__char"), F.col("d.word_d").alias("__word")),
-        work_folder(spark, "nearest"),
-    )
-    near = (
-        unknown.join(nearest, key == F.col("__key"), "left")
-        .drop("__key")
-        .withColumn("__reference", F.lit(None).cast("binary"))
-    )
-    return known.where(F.col(lang_col).isNotNull()).unionByName(near)
 
+def _nearest(block, of, own):
+    """The reference of a block that is nearest to a text, by the sum of its distances."""
+    each = ((*of(lang).distances(*own), lang) for lang in sorted(block))
+    return min(each, key=lambda d: (d[0] + d[1], d), default=None)
 
-def _judge(rules):
-    """Verdicts from id, text, reference, and distances where these are known already."""
+
+def _near_rows(shared):
+    """``key, char_d, word_d, allowed``: the nearest reference of the block for each text."""
 
     def run(batches):
-        held = {}
-        for batch in w.slices(batches, 1, 2):
+        block, rules = shared.value
+        of = _references(block, {})
+        for batch in w.slices(batches, 1):
             rows = []
-            packed, *near = (c.to_pylist() for c in batch.columns[2:])
-            for text, reference, char_d, word_d in zip(w.texts(batch.column(1)), packed, *near, strict=True):
-                base = base_counts(text)
+            for text in w.texts(batch.column(1)):
                 words = common_form(text)
-                if reference is not None:
+                found = _nearest(block, of, (histogram(text), Counter(words), len(words)))
+                allowed = of(found[2]).chance(len(words)) if found else None
+                rows.append((*found[:2], allowed) if found else (None, None, None))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["key", "char_d", "word_d", "allowed"]
+            )
+
+    return run
+
+
+def _judge(shared):
+    """Verdicts from id, text, language, and the nearest reference's distances where these are known."""
+
+    def run(batches):
+        block, rules = shared.value
+        of = _references(block, {})
+        for batch in w.slices(batches, 1):
+            rows = []
+            langs, *near = (c.to_pylist() for c in batch.columns[2:])
+            for text, lang, char_d, word_d, allowed in zip(w.texts(batch.column(1)), langs, *near, strict=True):
+                base, words = base_counts(text), common_form(text)
+                if char_d is None:
                     own = histogram(text), Counter(words), len(words)
-                    char_d, word_d = _unpacked(held, reference).distances(*own)
-                elif char_d is None:
-                    char_d, word_d = 0.0, 0.0
+                    if lang is None:
+                        found = _nearest(block, of, own)
+                        char_d, word_d, lang = found or (0.0, 0.0, None)
+                    elif of(lang):
+                        char_d, word_d = of(lang).distances(*own)
+                    else:
+                        char_d, word_d, lang = 0.0, 0.0, None
+                    allowed = of(lang).chance(len(words)) if lang is not None else 0.0
                 failed = base[0] < rules["least_base_words"] or 100 * base[4] > rules["repeat_percent"] * base[0]
                 far = (base[1] >= rules["least_chars"] and char_d > rules["most_char_distance"]) or (
-                    len(words) >= rules["least_words"] and word_d > rules["most_word_distance"]
+                    len(words) >= rules["least_words"] and word_d > max(rules["most_word_distance"], allowed + rules["slack"])
                 )
                 rows.append((*base, round(char_d, 6), round(word_d, 6), failed, not (failed or far)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
@@ -264,6 +278,53 @@ def _judge(rules):
     return run
 
 
+def _judged(docs, references, rules, run, columns, schema, lang_col, text_col, block_bytes):
+    """What ``run(shared)`` makes of all rows: the given ``columns``, language and distances.
+
+    The references go to tasks in blocks of about ``block_bytes``, whatever their number, and a
+    language's block follows from its name; so texts stay where they are, each is held against
+    its own block, and texts of one language are in as many tasks as the table has.  A
+    text of unknown language is held against every block, once a block, and the nearest counts.
+    """
+    spark = docs.sparkSession
+    lang = F.col(lang_col).cast("string")
+    total = references.agg(F.sum(F.length("reference") + F.length("lang"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    none = [F.lit(None).cast("double").alias(x) for x in ("char_d", "word_d", "allowed")]
+
+    def block_of(column):
+        return F.pmod(F.xxhash64(column), F.lit(blocks))
+
+    def shared(i):
+        mine = references.where(block_of("lang") == i).collect()
+        return spark.sparkContext.broadcast(({r.lang: bytes(r.reference) for r in mine}, rules))
+
+    if blocks == 1:
+        return docs.select(*columns, lang.alias("lang"), *none).mapInArrow(run(shared(0)), schema)
+    key = F.sha2(F.col(text_col).cast("binary"), 256)
+    unknown = docs.where(F.col(lang_col).isNull())
+    texts = unknown.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).alias("text"))
+    found, out = None, []
+    near = "key string, char_d double, word_d double, allowed double"
+    for i in range(blocks):
+        block = shared(i)
+        known = docs.where(F.col(lang_col).isNotNull() & (block_of(lang) == i))
+        out.append(land(known.select(*columns, lang.alias("lang"), *none).mapInArrow(run(block), schema), work_folder(spark, "judged")))
+        mine = land(texts.mapInArrow(_near_rows(block), near).where("char_d IS NOT NULL").distinct(), work_folder(spark, "near"))
+        found = mine if found is None else found.union(mine)
+        block.unpersist()
+    least = F.min(F.struct((F.col("char_d") + F.col("word_d")).alias("sum"), "char_d", "word_d", "allowed")).alias("d")
+    found = land(found.groupBy("key").agg(least).select("key", "d.*"), work_folder(spark, "nearest"))
+    packed = unknown.select(F.struct(*columns).alias("row"), key.alias("key"))
+    beside = packed.join(found, "key", "left").select("row.*", F.lit(None).cast("string").alias("lang"), "char_d", "word_d", "allowed")
+    empty = spark.sparkContext.broadcast(({}, rules))
+    out.append(beside.mapInArrow(run(empty), schema))
+    result = out[0]
+    for part in out[1:]:
+        result = result.union(part)
+    return result
+
+
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "char_distance double, word_distance double, base_failed boolean, kept boolean"
@@ -275,46 +336,53 @@ DEFAULTS = {
     "least_base_words": 10,
     "repeat_percent": 20,
     "least_chars": 200,
-    "least_words": 200,
+    "least_words": 30,
     "most_char_distance": 0.30,
     "most_word_distance": 0.35,
+    "slack": 0.05,
 }
 
 
-def quality_verdicts(docs, references=None, id_col="doc_id", lang_col="lang", text_col="text", **rules):
+def quality_verdicts(
+    docs, references=None, id_col="doc_id", lang_col="lang", text_col="text", block_bytes=1 << 24, **rules
+):
     """Counts, distances and verdict of each document; one row per row of ``docs``.
 
     Two histograms of a document, of character classes and of the common words of its language
     with one bin for all other words, are held against the references of its language (see
     ``language_references``) by Jensen-Shannon distance, 0 to 1.  A document fails above a
-    limit; it is not held against a histogram for which it is shorter than ``least_chars``
-    (in words) or ``least_words``.  A null language is compared with every reference and the
-    nearest counts; a language without a reference is judged by the base rules alone, its
-    distances are 0.  Null and empty texts have no words and fail by ``least_base_words``.
-    Rows that repeat are judged alike, a null id stays null.
+    limit.  It is not held against a histogram for which it is shorter than ``least_chars`` (in
+    words) or ``least_words``; the limit for words is at least ``slack`` above what chance
+    gives a text of that length (``Reference.chance``).  A null language is
+    compared with every reference and the nearest counts; a language without a reference is
+    judged by the base rules alone, its distances are 0.  Null and empty texts have no words and
+    fail by ``least_base_words``.  Rows that repeat are judged alike, a null id stays null.
     """
     found = language_references(docs, lang_col=lang_col, text_col=text_col) if references is None else references
-    rows = _beside(docs, found, lang_col, text_col)
-    return rows.select(
-        F.col(id_col).cast("long"), F.col(text_col), "__reference", "__char", "__word"
-    ).mapInArrow(_judge({**DEFAULTS, **rules}), SCHEMA)
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
+    return _judged(docs, found, {**DEFAULTS, **rules}, _judge, columns, SCHEMA, lang_col, text_col, block_bytes)
 
 
-def keep_quality(docs, references=None, id_col="doc_id", lang_col="lang", text_col="text", **rules):
+def keep_quality(
+    docs, references=None, id_col="doc_id", lang_col="lang", text_col="text", block_bytes=1 << 24, **rules
+):
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns."""
     found = language_references(docs, lang_col=lang_col, text_col=text_col) if references is None else references
     names, text_at = docs.columns, docs.columns.index(text_col)
-    judge = _judge({**DEFAULTS, **rules})
 
-    def run(batches):
-        for batch in w.slices(batches, text_at):
-            own = pa.RecordBatch.from_arrays(
-                [pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at), *batch.columns[len(names) :]],
-                ["id", "text", "reference", "char", "word"],
-            )
-            kept = [verdict.column("kept") for verdict in judge([own])]
-            rows = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names)
-            yield rows.filter(pa.concat_arrays(kept))
+    def keep(shared):
+        judge = _judge(shared)
+
+        def run(batches):
+            for batch in w.slices(batches, text_at):
+                own = pa.RecordBatch.from_arrays(
+                    [pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at), *batch.columns[len(names) :]],
+                    ["id", "text", "lang", "char_d", "word_d", "allowed"],
+                )
+                kept = [verdict.column("kept") for verdict in judge([own])]
+                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.concat_arrays(kept))
+
+        return run
 
-    rows = _beside(docs, found, lang_col, text_col)
-    return rows.select(*names, "__reference", "__char", "__word").mapInArrow(run, docs.schema)
+    columns = [F.col(c).alias(f"own_{i}") for i, c in enumerate(names)]
+    return _judged(docs, found, {**DEFAULTS, **rules}, keep, columns, docs.schema, lang_col, text_col, block_bytes)

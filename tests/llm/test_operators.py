@@ -314,8 +314,12 @@ def test_keep_quality_agrees(docs):
     assert sorted(ident(r.doc_id) for r in kept.select("doc_id").collect()) == sorted(ident(r.doc_id) for r in want.collect())
 
 
-def test_rare_languages_are_not_judged_by_others(spark):
-    """0.2 % of all words, few words, no language: each held against its own or the nearest."""
+@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
+def test_rare_languages_are_not_judged_by_others(spark, block_bytes):
+    """0.2 % of all words, few words, no language: each held against its own or the nearest.
+
+    References in one block or in several, beside columns named like those used inside.
+    """
     rng = np.random.default_rng(9)
 
     def clean(mark, n):
@@ -325,19 +329,44 @@ def test_rare_languages_are_not_judged_by_others(spark):
     rows += [(10 + i, "rare", clean("r", 300)) for i in range(6)]
     rows += [(20, "rare", " ".join(f"q{i}" for i in range(300))), (30, "few", clean("f", 300))]
     rows += [(40, None, rows[4][2]), (41, None, rows[4][2]), (42, None, rows[10][2]), (43, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    got = {r.doc_id: r for r in divergence.quality_verdicts(docs).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").selectExpr(
+        "doc_id", "lang", "text", "doc_id AS id", "'k' AS key", "1 AS char_d", "named_struct('a', 2) AS row", "lang AS reference", "0 AS kept"
+    )
+    got = {r.doc_id: r for r in divergence.quality_verdicts(docs, block_bytes=block_bytes).collect()}
     assert all(got[i].kept and 0 < got[i].word_distance < 0.35 for i in range(10, 16))
     assert not got[20].kept and got[20].word_distance > 0.35
     assert got[30].kept and (got[30].char_distance, got[30].word_distance) == (0, 0)
     for i, same in ((40, 10), (41, 10), (42, 20)):
         assert got[i][1:] == got[same][1:]
     assert len(got) == len(rows) and not got[43].kept
-    kept = divergence.keep_quality(docs).where("doc_id >= 10")
+    kept = divergence.keep_quality(docs, block_bytes=block_bytes).where("doc_id >= 10")
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {*range(10, 16), 30, 40, 41}
 
 
+def test_short_texts_get_the_allowance_of_chance():
+    """The limit for short texts follows draws from the reference; junk of 200 words is still far."""
+    rng = np.random.default_rng(5)
+    rows = [(0, f"w{i}", int(20_000 / (i + 1))) for i in range(300)]
+    rows += [(2, "", sum(n for _, _, n in rows) + 30_000), (1, "0", 500_000), (1, "3", 100_000)]
+    reference = divergence.Reference(divergence.zlib.compress(divergence.json.dumps(rows).encode()))
+    share = reference.counts / reference.counts.sum()
+    limit = {n: reference.chance(n) + 0.05 for n in (10, 30, 60, 120, 200, 5000)}
+    assert limit[5000] < limit[200] < limit[120] < limit[60] < limit[30] < limit[10] < 1
+    for n in (30, 60, 120, 200, 5000):
+        drawn = [divergence.distance(x, reference.counts) for x in rng.multinomial(n, share, 400)]
+        assert max(drawn) < limit[n] and abs(limit[n] - 0.05 - np.mean(drawn) - 3 * np.std(drawn)) < 0.04
+    odd = np.zeros(len(share))
+    odd[-1] = 200  # no common word at all
+    assert divergence.distance(odd, reference.counts) > limit[200]
+
+
+def test_no_shuffle_by_language(spark, docs):
+    """Neither the counts nor the texts are dealt by language."""
+    plan = divergence.quality_verdicts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 # Decontamination ----------------------------------------------------------------------
 @pytest.mark.parametrize("block_bytes", [1 << 23, 600])
 def test_contaminated(spark, docs, texts, block_bytes):
