@@ -48,7 +48,8 @@ def has_refs(df: DataFrame, ids: str = "role_ids") -> DataFrame:
     return df.filter(F.size(ids) > 0)
 
 
-def _explode(df, ids, into):
+def explode_listed(df: DataFrame, ids: str, into: str) -> DataFrame:
+    """One row per reference; a record without any keeps one row, without an id."""
     carried = [c for c in df.columns if c != ids]
     return df.select(
         *carried, F.size(ids).cast("long").alias("refs"), F.explode_outer(ids).alias(into)
@@ -57,7 +58,7 @@ def _explode(df, ids, into):
 
 def explode_refs(df: DataFrame, ids: str = "role_ids", into: str = "role_id") -> DataFrame:
     """One row per reference; a record without references has none."""
-    return _explode(df, ids, into).filter(F.col(into).isNotNull())
+    return explode_listed(df, ids, into).filter(F.col(into).isNotNull())
 
 
 def complete_role_refs(policies: DataFrame, details: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def complete_role_refs(policies: DataFrame, details: DataFrame) -> DataFrame:
     so the rest, normally nearly all, is not shuffled.  The narrow edges are landed: both
     sides are taken from there, and the policies are read and decoded once.
     """
-    edges = land(_explode(policies, "role_ids", "role_id"), work_folder(policies.sparkSession, "role-edges"))
+    edges = land(explode_listed(policies, "role_ids", "role_id"), work_folder(policies.sparkSession, "role-edges"))
     bare = edges.filter(F.col("role_id").isNull()).drop("refs", "role_id")
     found = details.select(
         *POLICY_KEY,
@@ -89,7 +90,7 @@ def complete_assoc_refs(permissions: DataFrame, associations: DataFrame) -> Data
     the verdict to count.  The listed edges are landed, as those of roles are.
     """
     edges = land(
-        _explode(permissions, "policy_ids", "policy_id").drop("refs"),
+        explode_listed(permissions, "policy_ids", "policy_id").drop("refs"),
         work_folder(permissions.sparkSession, "assoc-edges"),
     )
     bare = edges.filter(F.col("policy_id").isNull()).drop("policy_id")

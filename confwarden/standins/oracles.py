@@ -333,6 +333,14 @@ _SQL = {
         FROM orders o JOIN client c ON c.client_uuid = o.o_custkey
         WHERE o.o_orderstatus <> 'P' AND c.authz_enabled AND c.realm <> 'NATION_0' GROUP BY 1, 2""",
 }
+for _name in ("stream_late_scope", "stream_counts", "stream_late_details"):
+    _SQL[_name] = _SQL["stream_policies"]
+_SQL["stream_late_associations"] = _SQL["stream_permissions"]
+_SQL["replay_plan"] = _SQL["delete_plan"]
+_SQL["stream_pending"] = """
+    SELECT c.realm, CAST(o.o_custkey AS VARCHAR) AS client_uuid, CAST(o.o_orderkey AS VARCHAR) AS policy_id
+    FROM orders o JOIN client c ON c.client_uuid = o.o_custkey
+    WHERE o.o_orderstatus <> 'P' AND (o.o_orderpriority < '3' OR o.o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))"""
 _SQL["stream_late_policies"] = _SQL["stream_permissions"]
 _SQL["stream_sticky"] = _SQL["sticky_flag"]
 

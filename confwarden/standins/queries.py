@@ -31,10 +31,12 @@ from confwarden.plans.ensure_clients import ensure_clients
 from confwarden.plans.token_mode import patch_clients, plan_token_mode
 from confwarden.session import land, work_folder
 from confwarden.sinks import append_ledger, cursors, done_rows, unseen, write_plan
+from confwarden.sinks.replay import all_planned, write_unseen
 from confwarden.sources import explode_targets, incomplete_exports, read_pages
 from confwarden.sources.guard import ENTITY_KEYS
 from confwarden.standins import entities as e
 from confwarden.streaming import (
+    incremental,
     page_stream,
     read_batches,
     stream_dead_permissions,
@@ -836,6 +838,137 @@ def stream_plan_(spark, sf):
     return plan.select("resource_path", "phase", "apply", "batch_no")
 
 
+def _more_pages(df, path):
+    df.write.mode("append").json(path)
+    return path
+
+
+def _scope_documents(spark, sf, path):
+    mine = clients.authz_clients(clients.drop_reserved(e.client_documents(spark, sf), e.RESERVED))
+    return land(mine.select(*CLIENT_KEY, "client_id"), path)
+
+
+def _blank(documents, where):
+    """``documents`` whose lists are missing where a condition holds, as an export may have them."""
+    return documents.withColumn("config", F.when(~where, F.col("config")))
+
+
+@query
+def stream_late_scope(spark, sf):
+    """All policies land while few clients are looked at; the next run looks at all clients."""
+    folder = work_folder(spark, "stream")
+    scope = _scope_documents(spark, sf, f"{folder}/client")
+    known = land(e.role_documents(spark, sf), f"{folder}/role")
+    pages = _json_pages(e.policy_documents(spark, sf), f"{folder}/pages")
+    state = incremental.policy_state(spark, folder)
+    early = clients.matching_clients(scope, PATTERN)
+    incremental.advance_policies(state, known, page_stream(spark, "policy", pages, files_per_batch=4))
+    land(incremental.dead_policies_of(state, early), f"{folder}/first")
+    incremental.advance_policies(state, known, page_stream(spark, "policy", pages, files_per_batch=4))
+    return incremental.dead_policies_of(state, scope).select("realm", "client_uuid", "policy_id", "refs")
+
+
+def _three_runs(spark, sf, folder):
+    """Policies arrive in three runs, some twice, while roles come and go."""
+    documents = land(e.policy_documents(spark, sf), f"{folder}/documents")
+    parts = [F.col("name") < "2", F.col("name") < "4", F.col("name") >= "3"]
+    roles = [
+        e.realm_roles(spark, sf).selectExpr("realm", "cast(role_id AS string) AS role_id"),
+        documents.selectExpr("realm", "policy_id AS role_id").unionByName(
+            e.client_roles(spark, sf).selectExpr("realm", "cast(role_id AS string) AS role_id")
+        ),
+        e.role_documents(spark, sf),
+    ]
+    state = incremental.policy_state(spark, folder)
+    for part, known in zip(parts, roles, strict=True):
+        pages = _more_pages(documents.filter(part), f"{folder}/pages")
+        incremental.advance_policies(state, known, page_stream(spark, "policy", pages, files_per_batch=8))
+    return state
+
+
+@query
+def stream_counts(spark, sf):
+    """Counts carried from run to run, corrected where the role catalogue changes."""
+    folder = work_folder(spark, "stream")
+    state = _three_runs(spark, sf, folder)
+    scope = _scope_documents(spark, sf, f"{folder}/client")
+    return incremental.dead_policies_of(state, scope).select("realm", "client_uuid", "policy_id", "refs")
+
+
+def _late_details(spark, sf, folder):
+    """Policies of two priorities come without a list; detail records follow a run later."""
+    documents = land(e.policy_documents(spark, sf), f"{folder}/documents")
+    missing = F.col("name") < "3"
+    known = land(e.role_documents(spark, sf), f"{folder}/role")
+    pages = _json_pages(_blank(documents, missing), f"{folder}/pages")
+    state = incremental.policy_state(spark, folder)
+    incremental.advance_policies(state, known, page_stream(spark, "policy", pages, files_per_batch=4))
+    waiting = land(incremental.pending_records(state, None), f"{folder}/waiting")
+    detail = documents.filter(missing & (F.col("type") == fixed.ROLE_POLICY)).select(*refs.POLICY_KEY, "config")
+    details = _json_pages(detail, f"{folder}/detail")
+    incremental.advance_policies(
+        state,
+        known,
+        page_stream(spark, "policy", pages, files_per_batch=4),
+        page_stream(spark, "policy_detail", details, files_per_batch=4),
+    )
+    return state, waiting
+
+
+@query
+def stream_late_details(spark, sf):
+    folder = work_folder(spark, "stream")
+    state, _ = _late_details(spark, sf, folder)
+    scope = _scope_documents(spark, sf, f"{folder}/client")
+    return incremental.dead_policies_of(state, scope).select("realm", "client_uuid", "policy_id", "refs")
+
+
+@query
+def stream_pending(spark, sf):
+    """Policies that wait for their detail record after the first run."""
+    return _late_details(spark, sf, work_folder(spark, "stream"))[1]
+
+
+def _late_associations(spark, sf):
+    """Permissions, then their associations, then the policies these name, a run each."""
+    folder = work_folder(spark, "stream")
+    scope = _scope_documents(spark, sf, f"{folder}/client")
+    known = land(e.role_documents(spark, sf), f"{folder}/role")
+    named = _json_pages(e.permission_documents(spark, sf), f"{folder}/permission")
+    linked, policies = f"{folder}/association", f"{folder}/policy"
+    first, second = incremental.policy_state(spark, folder), incremental.permission_state(spark, folder)
+    for spark_path, documents in ((None, None), (linked, e.association_documents), (policies, e.policy_documents)):
+        spark.createDataFrame([], schemas.PERMISSION_ASSOC).write.mode("append").json(linked)
+        spark.createDataFrame([], schemas.POLICY).write.mode("append").json(policies)
+        if documents is not None:
+            _more_pages(documents(spark, sf), spark_path)
+        incremental.advance_policies(first, known, page_stream(spark, "policy", policies, files_per_batch=4))
+        dead = incremental.dead_policies_of(first, None)
+        incremental.advance_permissions(
+            second,
+            dead,
+            page_stream(spark, "policy", named, files_per_batch=4),
+            page_stream(spark, "permission_assoc", linked, files_per_batch=4),
+        )
+    return incremental.dead_policies_of(first, scope), incremental.dead_permissions_of(second, scope)
+
+
+@query
+def stream_late_associations(spark, sf):
+    found = _late_associations(spark, sf)[1]
+    return found.select("realm", "client_uuid", "permission_id", F.col("type").alias("ptype"), "refs")
+
+
+@query
+def replay_plan(spark, sf):
+    """Plans of three runs that overlap, each written through the index of what is planned."""
+    folder = work_folder(spark, "replay")
+    plan = land(delete_plan(_findings(spark, sf)), f"{folder}/whole")
+    for part in (F.col("phase") == fixed.POLICY_PHASE, F.col("phase") != "2-scope", F.lit(True)):
+        write_unseen(plan.filter(part), f"{folder}/out", every=2)
+    return all_planned(spark, f"{folder}/out", plan.schema).select("resource_path", "phase", "apply")
+
+
 @query
 def stream_cursors(spark, sf):
     """How far the policy phase has read, from the ledger its batches wrote."""

@@ -1,5 +1,6 @@
 """Incremental runs.  The streaming checkpoint is the saved position."""
 
+from confwarden.streaming import incremental
 from confwarden.streaming.phases import (
     page_stream,
     read_batches,
@@ -10,6 +11,7 @@ from confwarden.streaming.phases import (
 from confwarden.streaming.sticky import stream_sticky_flag
 
 __all__ = [
+    "incremental",
     "page_stream",
     "read_batches",
     "stream_dead_permissions",
