@@ -41,12 +41,14 @@ MODES = {"lightweight": "true", "regular": "false"}
 @dataclass(frozen=True)
 class TokenModePlan:
     """``missing`` are targets no client answers to, ``without_policies`` clients that
-    have the flag but no role policy; both are warnings."""
+    have the flag but no role policy; both are warnings.  ``rejected`` are clients and policies
+    whose whole document cannot be edited; they are in no plan."""
 
     clients: DataFrame
     policies: DataFrame
     missing: DataFrame
     without_policies: DataFrame
+    rejected: DataFrame
 
 
 def mapper_documents(mappers):
@@ -86,8 +88,8 @@ def patch_clients(clients: DataFrame, value: str) -> DataFrame:
         insert_mapper(mappers, fixed.SUB_MAPPER), fixed.PATCHED_MAPPERS, fixed.CLAIM_KEY, "true"
     )
     body = client_body(map_upsert(F.col("attributes"), fixed.TOKEN_MODE_ATTRIBUTE, value), patched)
-    if "document" in clients.columns:  # the whole document, edited in place
-        body = F.coalesce(edited_client(F.col("document"), value), body)
+    if "document" in clients.columns:  # the whole document, edited in place, or null
+        body = edited_client(F.col("document"), value)
     return split_by_authz(clients).select(
         *CLIENT_KEY,
         "client_id",
@@ -112,8 +114,8 @@ def patch_policies(policies: DataFrame, value: str) -> DataFrame:
             map_upsert(F.col("config"), fixed.FETCH_ROLES_KEY, value).alias("config"),
         )
     )
-    if "document" in policies.columns:  # the whole document, edited in place
-        body = F.coalesce(edited_policy(F.col("document"), value), body)
+    if "document" in policies.columns:  # the whole document, edited in place, or null
+        body = edited_policy(F.col("document"), value)
     return policies.select(
         *CLIENT_KEY,
         F.col("policy_id").alias("target_id"),
@@ -126,6 +128,12 @@ def patch_policies(policies: DataFrame, value: str) -> DataFrame:
     )
 
 
+def _without_body(plan: DataFrame, kind: str) -> DataFrame:
+    return plan.filter(F.col("body").isNull()).select(
+        *CLIENT_KEY, F.lit(kind).alias("entity"), "resource_path", F.lit("document cannot be edited").alias("reason")
+    )
+
+
 def plan_token_mode(
     realms: DataFrame,
     clients: DataFrame,
@@ -135,7 +143,12 @@ def plan_token_mode(
     reserved: str = fixed.RESERVED_REALM,
     unchanged: bool = False,
 ) -> TokenModePlan:
-    """Plan the switch to ``mode``; rows that alter nothing are left out unless asked for."""
+    """Plan the switch to ``mode``; rows that alter nothing are left out unless asked for.
+
+    Tables with a column ``document`` (see ``read_documents``) give bodies of whole documents.
+    A row whose document cannot be edited is rejected, never planned with the few fields that
+    the other columns have.
+    """
     value = MODES[mode]
     tenants = drop_reserved(realms, reserved).select("realm")
     named = drop_reserved(named_by_template(clients, templates), reserved)
@@ -146,12 +159,14 @@ def plan_token_mode(
     theirs = only_found(
         policies_of_type(policies, fixed.ROLE_POLICY), with_authz.select(*CLIENT_KEY), CLIENT_KEY
     )
-    keep = F.lit(True) if unchanged else F.col("changed")
+    keep = F.col("body").isNotNull() & (F.lit(True) if unchanged else F.col("changed"))
+    client_rows, policy_rows = patch_clients(known, value), patch_policies(theirs, value)
     return TokenModePlan(
-        clients=patch_clients(known, value).filter(keep),
-        policies=patch_policies(theirs, value).filter(keep),
+        clients=client_rows.filter(keep),
+        policies=policy_rows.filter(keep),
         missing=missing_targets(expand_targets(tenants, templates), named),
         without_policies=with_authz.select(*CLIENT_KEY, "client_id").join(
             theirs.select(*CLIENT_KEY).distinct(), CLIENT_KEY, "left_anti"
         ),
+        rejected=_without_body(client_rows, "client").unionByName(_without_body(policy_rows, "policy")),
     )

@@ -42,14 +42,23 @@ def read_documents(spark: SparkSession, entity: str, path: str) -> DataFrame:
 
     Each line holds ``{"realm": ..., "client_uuid": ..., "document": {...}}``; a client's uuid
     is its document's id.  ``document`` keeps every field, so that a plan can send all of it
-    back; a line without its keys fails the read.
+    back; a line without its keys fails the read.  A line that cannot be edited (a key twice
+    in one object, for instance) still has its keys and its text, so that plans can reject it.
     """
     v = F.try_parse_json("value")
 
+    def text(path):
+        return F.when(v.isNull(), F.get_json_object("value", path)).otherwise(F.try_variant_get(v, path, "string"))
+
     def field(name, kind="string"):
+        if kind == "string":
+            return text(f"$.document.{name}")
+        if kind == "boolean":
+            loose = F.get_json_object("value", f"$.document.{name}").try_cast("boolean")
+            return F.when(v.isNull(), loose).otherwise(F.try_variant_get(v, f"$.document.{name}", kind))
         return F.try_variant_get(v, f"$.document.{name}", kind)
 
-    own = F.try_variant_get(v, "$.client_uuid", "string")
+    own = text("$.client_uuid")
     if entity == "client":
         kind = schemas.CLIENT["protocol_mappers"].dataType
         mappers = F.from_json(field("protocolMappers"), schemas.DOCUMENT_MAPPERS).cast(kind)
@@ -65,8 +74,8 @@ def read_documents(spark: SparkSession, entity: str, path: str) -> DataFrame:
         columns["config"] = field("config", "map<string,string>")
     else:
         raise ValueError(f"no document fields are known for {entity}")
-    columns = {"realm": F.try_variant_get(v, "$.realm", "string"), **columns}
-    columns["document"] = F.try_variant_get(v, "$.document", "string")
+    columns = {"realm": text("$.realm"), **columns}
+    columns["document"] = text("$.document")
     return _with_keys(spark.read.text(path).select(*[c.alias(n) for n, c in columns.items()]), entity)
 
 

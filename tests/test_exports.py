@@ -84,3 +84,44 @@ def test_command_line(spark, frame, folder):
     main(["ensure-clients", "--export", export, "--out", f"{out}/ensure", "--clients", "old,new"])
     plan = spark.read.parquet(f"{out}/ensure/clients")
     assert rows(plan, "client_id", "action") == [("new", "create"), ("old", "patch")]
+
+
+def test_flat_exports_give_no_bodies(spark, frame, folder):
+    export, out = f"{folder}/export", f"{folder}/out"
+    frame("realm", [("r",)]).write.json(f"{export}/realm")
+    frame("client", [("r", "c", "r-login-application", True, None, None)]).write.json(f"{export}/client")
+    frame("policy", [role_policy("r", "c", "p", "gone")]).write.json(f"{export}/policy")
+    main(["token-mode", "--export", export, "--out", out, "--mode", "lightweight"])
+    for name in ("clients", "policies"):
+        assert "body" not in spark.read.parquet(f"{out}/{name}").columns
+
+
+def test_stream_job(spark, frame, folder):
+    """Called again as pages arrive; an applied run plans what no earlier one has planned."""
+    export, out = f"{folder}/export", f"{folder}/out"
+    frame("realm", [("r",)]).write.json(f"{export}/realm")
+    frame("client", [("r", "c", "r-login-application", True, None, None)]).write.json(f"{export}/client")
+    frame("role", [("r", "alive", None)]).write.json(f"{export}/role")
+
+    def arrive(*documents):
+        frame("policy", list(documents)).coalesce(1).write.mode("append").json(f"{export}/policy")
+
+    def run(number, *more):
+        main(["stream", "--export", export, "--out", out, *more])
+        plan = spark.read.schema("target_id string, apply boolean").parquet(f"{out}/results/run={number}/plan")
+        return rows(plan, "target_id", "apply")
+
+    arrive(role_policy("r", "c", "p", "gone"), permission("r", "c", "x", "p", "q"))
+    assert run(0) == [("p", False)] == run(1)
+    assert run(2, "--apply") == [("p", True)]
+    arrive(role_policy("r", "c", "q", "lost"))
+    assert run(3) == [("q", False), ("x", False)]
+    assert run(4, "--apply") == [("q", True), ("x", True)] and run(5, "--apply") == []
+    frame("role", [("r", "lost", None)]).write.mode("append").json(f"{export}/role")
+    assert run(6, "--apply") == []
+    found = spark.read.parquet(f"{out}/results/run=6/log")
+    assert rows(found, "target_id") == [("p",)] and found.filter("msg IS NULL").isEmpty()
+    frame("policy_detail", [("r", "c", "z", None, [("gone",)])]).write.json(f"{export}/policy_detail")
+    arrive(("r", "c", "z", "n", "role", None), ("r", "c", "w", "n", "role", None))
+    assert run(7, "--apply") == [("z", True)]
+    assert rows(spark.read.parquet(f"{out}/results/run=7/pending"), "policy_id") == [("w",)]

@@ -175,7 +175,8 @@ def files_read(df):
     plan = df._jdf.queryExecution().executedPlan()
     df._jdf.queryExecution().toRdd().count()
     leaves = plan.collectLeaves()
-    return sum(leaves.apply(i).metrics().get("numFiles").get().value() for i in range(leaves.size()))
+    scans = [leaves.apply(i).metrics() for i in range(leaves.size())]
+    return sum(m.apply("numFiles").value() for m in scans if m.contains("numFiles"))
 
 
 def size(df):

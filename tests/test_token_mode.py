@@ -234,3 +234,29 @@ def test_whole_documents_survive(spark, folder):
     policy["config"]["fetchRoles"] = "true"
     assert json.loads(plan.policies.first().body) == policy
     assert plan.clients.first().changed and plan.without_policies.isEmpty()
+
+
+def test_documents_that_cannot_be_edited_are_rejected(spark, folder):
+    """A key twice in one object: the row has its keys, no body of its few known fields, and a reason."""
+    good = {"id": "u1", "clientId": "r-login-application", "authorizationServicesEnabled": True, "extra": [1]}
+    twice = '{"id": "u2", "clientId": "r-login-application", "authorizationServicesEnabled": true, "a": 1, "a": 2}'
+    policy = {"id": "p1", "name": "n", "type": "role", "config": {}, "logic": "POSITIVE"}
+    lines = {
+        "client": [f'{{"realm": "r", "document": {json.dumps(good)}}}', f'{{"realm": "s", "document": {twice.replace("r-", "s-")}}}'],
+        "policy": [
+            f'{{"realm": "r", "client_uuid": "u1", "document": {json.dumps(policy)}}}',
+            '{"realm": "r", "client_uuid": "u1", "document": {"id": "p2", "type": "role", "x": {"y": 1, "y": 2}}}',
+        ],
+    }
+    for name, text in lines.items():
+        with open(f"{folder}/{name}.json", "w") as out:
+            out.write("\n".join(text) + "\n")
+    clients, policies = (read_documents(spark, name, f"{folder}/{name}.json") for name in ("client", "policy"))
+    realms = spark.createDataFrame([("r",), ("s",)], "realm string")
+    plan = plan_token_mode(realms, clients, policies)
+    assert rows(plan.clients, "client_uuid") == [("u1",)] and rows(plan.policies, "target_id") == [("p1",)]
+    assert json.loads(plan.clients.first().body)["extra"] == [1]
+    assert rows(plan.rejected, "realm", "client_uuid", "entity", "reason") == [
+        ("r", "u1", "policy", "document cannot be edited"),
+        ("s", "u2", "client", "document cannot be edited"),
+    ]
