@@ -13,7 +13,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from confwarden import fixed, schemas
+from confwarden import fixed
 from confwarden.operators.counts import outcomes_by_path
 from confwarden.operators.lookup import lookup
 from confwarden.plans import (
@@ -27,7 +27,7 @@ from confwarden.plans import (
 )
 from confwarden.plans.audit import finding_log
 from confwarden.session import build_session
-from confwarden.sinks import write_plan
+from confwarden.sinks import read_ledger, write_plan
 from confwarden.sources import read_pages, read_table, target_list
 from confwarden.sources.exports import read_documents
 from confwarden.streaming import page_stream
@@ -58,15 +58,6 @@ def _reader(spark, args):
     return entity
 
 
-def _ledger(spark, path):
-    try:
-        return spark.read.schema(schemas.RUN_LEDGER).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def run_audit(spark, args):
     entity = _reader(spark, args)
     run_id = args.run_id or uuid.uuid4().hex
@@ -81,14 +72,14 @@ def run_audit(spark, args):
             details=entity("policy_detail", required=False),
             associations=entity("permission_assoc", required=False),
             manifest=entity("manifest", required=False),
-            ledger=None if args.reset else _ledger(spark, ledger),
+            ledger=None if args.reset else read_ledger(spark, ledger),
             outcomes=outcomes_by_path(attempts) if attempts is not None else None,
         ),
         AuditConfig(args.pattern, args.tenants, args.reserved, args.batch_size, not args.apply),
         folder=f"{args.out}/run-{run_id}",
     )
     now = F.lit(datetime.datetime.now(datetime.timezone.utc))
-    commit_audit(result, ledger, run_id, now)
+    commit_audit(result, ledger, run_id, now, planned=None if args.reset else f"{args.out}/planned")
     findings = finding_log(result.findings, now)
     write_plan(findings, f"{result.folder}/findings", mode="overwrite")
     write_plan(result.counts, f"{result.folder}/counts", mode="overwrite")

@@ -34,9 +34,11 @@ from confwarden.operators.refs import (
     with_role_ids,
 )
 from confwarden.session import land, work_folder
-from confwarden.sinks.ledger import append_ledger, done_rows
+from confwarden.sinks.ledger import done_rows, record_run
+from confwarden.sinks.replay import write_unseen
 from confwarden.sinks.tables import write_plan
 from confwarden.sources.guard import complete_realms, rejected_exports
+from confwarden.sources.snapshots import SNAPSHOT, mixtures
 from confwarden.sources.targets import target_list, unknown_targets
 
 
@@ -106,6 +108,18 @@ def scope_of(entities: Entities, config: AuditConfig, folder: str):
         delivered = {name: df for name, df in delivered.items() if df is not None}
         rejected = land(rejected_exports(realms, entities.manifest, delivered), f"{folder}/rejected")
         realms = land(complete_realms(realms, rejected), f"{folder}/realm")
+    stamps = [df for df in (entities.clients, entities.roles, entities.policies) if SNAPSHOT in df.columns]
+    if stamps:  # a tenant whose rows are of more than one snapshot is not judged
+        mixed = mixtures(entities).select(
+            "realm",
+            "entity",
+            F.lit(None).cast("long").alias("expected"),
+            F.col("snapshots").alias("actual"),
+            F.lit("mixed snapshots").alias("reason"),
+        )
+        mixed = only_found(mixed, realms.select("realm"), ["realm"])
+        rejected = land(mixed if rejected is None else rejected.unionByName(mixed), f"{folder}/left-out")
+        realms = land(complete_realms(realms, rejected), f"{folder}/whole-realm")
     clients = only_found(clients, realms.select("realm"), ["realm"])
     if entities.ledger is not None:
         done = entities.ledger.filter(F.col("status") == "done")
@@ -242,15 +256,21 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
     )
 
 
-def commit_audit(result: AuditResult, ledger: str, run_id: str, ts) -> DataFrame:
+def commit_audit(result: AuditResult, ledger: str, run_id: str, ts, planned: str | None = None) -> DataFrame:
     """Write the delete plan into the run's folder, then mark the scope as done.
 
+    With ``planned``, the folder of an index of planned paths (``sinks.replay``), an applied
+    run writes only the rows that no earlier one has planned, and adds them to the index.
+
     In this order: a run that fails in between leaves no ledger rows, and its clients are
     audited again.  A dry run marks nothing, so the run that applies its plan finds the same
     scope.  A tenant is done for the run's pattern only.  Returns the whole ledger.
     """
-    write_plan(result.plan, f"{result.folder}/plan", mode="overwrite")
+    plan = result.plan
+    if planned is not None and not result.config.dry_run:
+        plan = write_unseen(plan, planned)
+    write_plan(plan, f"{result.folder}/plan", mode="overwrite")
     rows = done_rows(result.clients, run_id, ts).unionByName(
         done_rows(result.realms, run_id, ts, phase=result.config.pattern)
     )
-    return append_ledger(rows.limit(0) if result.config.dry_run else rows, ledger)
+    return record_run(rows.limit(0) if result.config.dry_run else rows, ledger)

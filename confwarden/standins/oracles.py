@@ -337,6 +337,15 @@ for _name in ("stream_late_scope", "stream_counts", "stream_late_details"):
     _SQL[_name] = _SQL["stream_policies"]
 _SQL["stream_late_associations"] = _SQL["stream_permissions"]
 _SQL["replay_plan"] = _SQL["delete_plan"]
+_SQL["page_by_index"] = "SELECT policy_id FROM pol ORDER BY policy_id LIMIT 100 OFFSET 500"
+_SQL["ledger_compact"] = """
+    SELECT CAST(client_uuid AS VARCHAR) AS client_uuid, 'done' AS status,
+           CASE WHEN c_mktsegment = 'BUILDING' THEN 'run-4' WHEN c_acctbal > 5000 THEN 'run-3' ELSE 'run-1' END AS run_id
+    FROM scope JOIN customer ON c_custkey = client_uuid"""
+_SQL["audit_as_of"] = """
+    SELECT r.realm, CAST(r.client_uuid AS VARCHAR) AS client_uuid, CAST(r.policy_id AS VARCHAR) AS policy_id, count(*) AS refs
+    FROM ref r JOIN nation ON n_name = r.realm LEFT JOIN dead d ON d.policy_id = r.policy_id
+    WHERE n_regionkey <> 2 OR d.policy_id IS NOT NULL GROUP BY 1, 2, 3"""
 _SQL["stream_pending"] = """
     SELECT c.realm, CAST(o.o_custkey AS VARCHAR) AS client_uuid, CAST(o.o_orderkey AS VARCHAR) AS policy_id
     FROM orders o JOIN client c ON c.client_uuid = o.o_custkey

@@ -30,10 +30,11 @@ from confwarden.plans.audit import AuditConfig, Entities, all_findings, audit, d
 from confwarden.plans.ensure_clients import ensure_clients
 from confwarden.plans.token_mode import patch_clients, plan_token_mode
 from confwarden.session import land, work_folder
-from confwarden.sinks import append_ledger, cursors, done_rows, unseen, write_plan
+from confwarden.sinks import append_ledger, cursors, done_rows, record_run, unseen, write_plan
 from confwarden.sinks.replay import all_planned, write_unseen
 from confwarden.sources import explode_targets, incomplete_exports, read_pages
 from confwarden.sources.guard import ENTITY_KEYS
+from confwarden.sources.snapshots import entities_as_of, stamped
 from confwarden.standins import entities as e
 from confwarden.streaming import (
     incremental,
@@ -600,6 +601,29 @@ def replay_dedup(spark, sf):
     return spark.read.schema(plan.schema).parquet(path).select("resource_path")
 
 
+@query
+def ledger_compact(spark, sf):
+    """Five runs, the first of them repeated by later ones, in a ledger made compact twice."""
+    path = f"{work_folder(spark, 'ledger')}/run_ledger"
+    scope = e.scope(spark, sf).withColumn("client_uuid", F.col("client_uuid").cast("string"))
+    mine = clients.matching_clients(scope, PATTERN)
+    for run, rows in enumerate((mine, scope, mine, scope.filter("balance > 5000"), mine)):
+        at = F.lit(f"2024-01-0{run + 1} 00:00:00")
+        ledger = record_run(done_rows(rows, f"run-{run}", at), path, every=2)
+    latest = F.max(F.struct("ts", "run_id"))["run_id"].alias("run_id")
+    return ledger.groupBy("client_uuid", "status").agg(latest)
+
+
+@query
+def page_by_index(spark, sf):
+    """A page from the middle of all policies, through an index of ranges."""
+    path = work_folder(spark, "pages")
+    policies = e.policies(spark, sf).select("policy_id", "name")
+    batches.write_pages(policies, ["policy_id"], path, ranges=32)
+    deep = batches.read_page(spark, path, policies.schema, ["policy_id"], 500, 100)
+    return deep.select("policy_id")
+
+
 # Functions -----------------------------------------------------------------------
 @query
 def scalar_functions(spark, sf):
@@ -728,6 +752,43 @@ def audit_guarded(spark, sf):
     return _guarded(spark, sf).findings.select("realm", "client_id", "phase", "target_id", "name")
 
 
+@query
+def audit_as_of(spark, sf):
+    """Two exports that overlap: the second, without any role, has come in full for some tenants.
+
+    Those are judged by it alone, the others by the first.
+    """
+    folder = work_folder(spark, "snapshots")
+    tenants = e.table(spark, sf, "nation").selectExpr("n_name AS realm", "n_regionkey AS region")
+    documents = land(e.policy_documents(spark, sf), f"{folder}/documents")
+    found = e.client_documents(spark, sf)
+
+    def twice(df):
+        return stamped(df, 1).unionByName(stamped(df, 2))
+
+    roles = stamped(e.role_documents(spark, sf), 1)
+    late = twice(documents).join(tenants, "realm").filter((F.col("snapshot_id") == 1) | (F.col("region") != 2) | (F.col("name") < "3"))
+    delivered = {
+        "client": land(twice(found), f"{folder}/client"),
+        "role": land(roles, f"{folder}/role"),
+        "policy": land(late.drop("region"), f"{folder}/policy"),
+    }
+
+    def announced(name, df, snapshot):
+        n = df.groupBy("realm").agg(F.countDistinct(*ENTITY_KEYS[name]).alias("n"))
+        rows = tenants.select("realm").join(n, "realm", "left")
+        return stamped(rows.selectExpr("realm", f"'{name}' AS entity", "coalesce(n, 0L) AS expected"), snapshot)
+
+    whole = {"client": found, "role": e.role_documents(spark, sf), "policy": documents}
+    parts = [announced(name, df, 1) for name, df in whole.items()]
+    parts += [announced(name, df.limit(0) if name == "role" else df, 2) for name, df in whole.items()]
+    manifest = land(reduce(DataFrame.unionByName, parts), f"{folder}/manifest")
+    entities = Entities(tenants.select("realm"), delivered["client"], delivered["role"], delivered["policy"])
+    taken, _ = entities_as_of(entities, manifest)
+    dead = audit(taken, AuditConfig(pattern="", reserved=e.RESERVED)).dead_policies
+    return dead.select("realm", "client_uuid", "policy_id", "refs")
+
+
 @query
 def audit_plan(spark, sf):
     """The delete plan of the same audit, with its batches."""
