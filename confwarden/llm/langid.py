@@ -63,6 +63,13 @@ def _train(batches):
         )
 
 
+def _packed(key, table):
+    """The counts of one language as one dense binary: a row for each bucket at most."""
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 def fit(
     docs,
     rows_per_language=2000,
@@ -74,16 +81,19 @@ def fit(
 ):
     """N-gram distributions by language: ``(names, log-free probabilities[bucket, language])``.
 
-    Fitted on a bounded sample: about ``rows_per_language`` rows of each of the
-    ``most_languages`` most frequent labels, taken by a hash of the id and read whole.  The
-    counts are hashed to a fixed number of buckets, so what the driver gathers is bounded by
-    ``most_languages`` times that number.  Null labels teach nothing; null texts are empty.
+    Fitted on a bounded sample: about ``rows_per_language`` rows of each label, taken by a hash of
+    the id and read whole.  The counts are hashed to a fixed number of buckets and come to the
+    driver as one dense array for each language.  The model has a column for each language
+    and goes to every task, so more than ``most_languages`` labels raise ``ValueError``
+    and no language is left out unsaid.  Null labels teach nothing; null texts are empty.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    rates = {r.lang: rows_per_language / r["count"] for r in sizes.collect()}
+    sizes = labelled.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages are labelled")
+    rates = {r.lang: rows_per_language / r["count"] for r in sorted(sizes)}
     if not rates:
         return [], np.zeros((BUCKETS, 0))
     spread = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -95,14 +105,13 @@ def fit(
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .groupBy("lang")
-        .agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+        .applyInArrow(_packed, "lang string, counts binary")
         .collect()
     )
     names = sorted(r.lang for r in counts)
     table = np.full((BUCKETS, len(names)), smoothing)
     for r in counts:
-        at, n = np.array(r.counts, dtype=np.int64).T
-        table[at, names.index(r.lang)] += n
+        table[:, names.index(r.lang)] += np.frombuffer(r.counts, np.int64)
     return names, table / table.sum(axis=0)
 
 
