@@ -472,7 +472,7 @@ def test_matching_statistics():
     for _ in range(20):
         texts = [(name, [str(x) for x in rng.integers(0, 3, 12)]) for name in "ab"]
         words = [str(x) for x in rng.integers(0, 3, 40)]
-        found = {(s, n) for s, n, _, _ in licenses.Automaton(texts).matches(words, 0, len(words), 3)}
+        found = {(s, n) for s, n, _ in licenses.Automaton(texts).matches(words, 0, len(words), 3)}
         runs = {tuple(t[i:j]) for _, t in texts for i in range(12) for j in range(i + 1, 13)}
         want = set()
         for end in range(3, len(words) + 1):
@@ -491,6 +491,111 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_scan(empty).count() == 0 and licenses.license_scan(docs).count() == docs.count()
 
 
+def test_all_places_of_matches():
+    """Every place of every match in every template, against a plain search."""
+    rng = np.random.default_rng(17)
+    for _ in range(20):
+        texts = [(name, [str(x) for x in rng.integers(0, 3, 15)]) for name in "abc"]
+        words = [str(x) for x in rng.integers(0, 3, 30)]
+        for start, n, places in licenses.Automaton(texts).matches(words, 0, len(words), 2):
+            run = words[start : start + n]
+            assert places == sorted((t, i) for t, x in texts for i in range(15) if x[i : i + n] == run)
+
+
+def test_base_phrases_of_whole_texts(spark, docs, texts):
+    """Counts and places of the base phrases over all documents, by a plain scan."""
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    seen = 0
+    for i, text in texts:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = []
+        for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+            parts = phrase.split()
+            places += [(j, label) for j in range(len(words)) if words[j : j + len(parts)] == parts]
+        r, at = got[i], [j for j, _ in places]
+        want = (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        seen += len(places)
+    assert seen > 0
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_templates_label_themselves(name):
+    """A whole template, and one with a changed word in the middle, is one span of its own label."""
+    automaton, sizes = licenses._compiled(licenses.TEMPLATES)
+    words = licenses.license_words(licenses.TEMPLATES[name].encode())
+    around = [b"before"] * 5, [b"after"] * 5
+    _, spans = licenses.scan([*around[0], *words, *around[1]], automaton, sizes, 4, 5, 12, 3)
+    assert spans == [(name, 5, 5 + len(words), 1.0)]
+    middle = len(words) // 2
+    _, spans = licenses.scan([*words[:middle], b"zzz", *words[middle + 1 :]], automaton, sizes, 4, 5, 12, 3)
+    assert [s[0] for s in spans] == [name] and spans[0][3] > 0.75
+
+
+def test_everyday_phrases_are_no_licences(spark):
+    rows = [
+        "You may obtain a copy of the report at the desk",
+        "this work is licensed under a contract with the city",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES",
+        "Licensed under the Apache License, Version 2.0.",
+        "This work is licensed under the GNU General Public License, version 3.",
+    ]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r.labels for r in licenses.license_scan(table).orderBy("doc_id").collect()]
+    assert got == ["", "", "mit", "bsd-2-clause", "apache-2.0", "gpl"]
+    own = licenses.license_scan(table, templates={"desk": "obtain a copy of the report at the desk of the bsd office now"})
+    assert {r.labels for r in own.where("doc_id < 1").collect()} == {""}
+
+
+def test_shares_of_languages_are_the_likeliest():
+    """EM against a search over the simplex, and the chosen set against all sets."""
+    rng = np.random.default_rng(21)
+    likely = rng.dirichlet(np.full(60, 0.3), 3).T + 1e-4
+    likely /= likely.sum(axis=0)
+    for true in ([1, 0, 0], [0.5, 0.5, 0], [0.2, 0.3, 0.5]):
+        counts = rng.multinomial(3000, likely @ np.array(true)).astype(float)
+        seen = counts > 0
+        share, value = langid.proportions(likely[seen], counts[seen], rounds=500, settled=1e-9)
+        grid = [(a, b, 1 - a - b) for a in np.linspace(0, 1, 101) for b in np.linspace(0, 1 - a, 101)]
+        best = max(grid, key=lambda s: counts[seen] @ np.log(likely[seen] @ np.array(s)))
+        top = counts[seen] @ np.log(likely[seen] @ np.array(best))
+        assert value >= top - 1e-6 and np.abs(share - best).max() < 0.03
+        price = 2.0 * np.log(counts.sum() + 1)
+        gains = {}
+        for k in (1, 2, 3):
+            for subset in itertools.combinations(range(3), k):
+                gains[subset] = langid.proportions(likely[seen][:, subset], counts[seen], 500, 1e-9)[1] - price * (k - 1)
+        found, parts = langid.language_set(likely[seen], counts[seen], 2.0)
+        assert tuple(sorted(found)) == max(gains, key=gains.get) == tuple(np.flatnonzero(true))
+        assert abs(parts.sum() - 1) < 1e-6
+
+
+def test_ngrams():
+    """Hashed n-grams against a plain count of padded words."""
+    text = "Ab c1ÉÉ, ab\n漢字"
+    at, n = langid.features(text)
+    plain, padded = Counter(), " ab c éé ab 漢字 "
+    for k in (1, 2, 3):
+        plain.update(padded[i : i + k] for i in range(len(padded) - k + 1))
+    assert n.sum() == sum(plain.values()) and len(at) <= len(plain)
+    assert sorted(n.tolist())[-1] >= max(plain.values())
+    assert [x.tolist() for x in langid.features(text * 2)] != [at.tolist(), n.tolist()]
+    assert len(langid.features(None)[0]) == len(langid.features("12 #")[0]) == 0
+
+
+def test_languages_beyond_the_bound_are_an_error(spark):
+    rows = [(i, f"text {i}", f"l{i % 5}") for i in range(20)] + [(21, None, "l1"), (21, "x", None), (21, "x", "l1")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        langid.fit(table, most_languages=4)
+    names, learned = langid.fit(table, most_languages=5)
+    assert names == [f"l{i}" for i in range(5)] and np.allclose(learned.sum(axis=0), 1)
+    assert len({r.lang_pred for r in langid.identify(table.where("doc_id = 21 AND text = 'x'"), (names, learned)).collect()}) == 1
+
+
 def test_languages(spark, docs, empty):
     held = langid.held_out_predictions(spark, docs).where("held_out").join(docs.where("lang IS NOT NULL"), "doc_id")
     right = held.where("lang_pred = lang").count() / held.count()
