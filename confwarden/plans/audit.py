@@ -40,6 +40,7 @@ from confwarden.sinks.tables import write_plan
 from confwarden.sources.guard import complete_realms, rejected_exports
 from confwarden.sources.snapshots import SNAPSHOT, mixtures
 from confwarden.sources.targets import target_list, unknown_targets
+from confwarden.sources.tenant_pages import broken_tenants
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,8 @@ class Entities:
 
     ``details`` and ``associations`` complete records whose lists are empty; ``manifest``
     announces row counts per tenant; ``ledger`` says what earlier runs have done;
-    ``outcomes`` what became of the paths of an applied plan.
+    ``outcomes`` what became of the paths of an applied plan; ``broken`` the lines of pages that
+    could not be read (``sources.tenant_pages``), whose tenants are left out.
     """
 
     realms: DataFrame
@@ -71,6 +73,7 @@ class Entities:
     manifest: DataFrame | None = None
     ledger: DataFrame | None = None
     outcomes: DataFrame | None = None
+    broken: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -120,6 +123,10 @@ def scope_of(entities: Entities, config: AuditConfig, folder: str):
         mixed = only_found(mixed, realms.select("realm"), ["realm"])
         rejected = land(mixed if rejected is None else rejected.unionByName(mixed), f"{folder}/left-out")
         realms = land(complete_realms(realms, rejected), f"{folder}/whole-realm")
+    if entities.broken is not None:
+        lines = only_found(broken_tenants(entities.broken), realms.select("realm"), ["realm"])
+        rejected = land(lines if rejected is None else rejected.unionByName(lines), f"{folder}/unreadable")
+        realms = land(complete_realms(realms, rejected), f"{folder}/readable-realm")
     clients = only_found(clients, realms.select("realm"), ["realm"])
     if entities.ledger is not None:
         done = entities.ledger.filter(F.col("status") == "done")

@@ -342,6 +342,13 @@ _SQL["ledger_compact"] = """
     SELECT CAST(client_uuid AS VARCHAR) AS client_uuid, 'done' AS status,
            CASE WHEN c_mktsegment = 'BUILDING' THEN 'run-4' WHEN c_acctbal > 5000 THEN 'run-3' ELSE 'run-1' END AS run_id
     FROM scope JOIN customer ON c_custkey = client_uuid"""
+_SQL["broken_pages"] = """
+    SELECT n_name AS realm, 'policy' AS entity, count(*) AS actual, 'unreadable line' AS reason
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+    WHERE n_regionkey = 2 AND n_name <> 'NATION_0' AND o_orderpriority < '2' GROUP BY 1"""
+_SQL["audit_readable"] = """
+    SELECT d.realm, CAST(d.client_uuid AS VARCHAR) AS client_uuid, CAST(d.policy_id AS VARCHAR) AS policy_id, d.refs
+    FROM dead d JOIN nation ON n_name = d.realm WHERE n_regionkey <> 2"""
 _SQL["audit_as_of"] = """
     SELECT r.realm, CAST(r.client_uuid AS VARCHAR) AS client_uuid, CAST(r.policy_id AS VARCHAR) AS policy_id, count(*) AS refs
     FROM ref r JOIN nation ON n_name = r.realm LEFT JOIN dead d ON d.policy_id = r.policy_id

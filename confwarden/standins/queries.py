@@ -35,6 +35,7 @@ from confwarden.sinks.replay import all_planned, write_unseen
 from confwarden.sources import explode_targets, incomplete_exports, read_pages
 from confwarden.sources.guard import ENTITY_KEYS
 from confwarden.sources.snapshots import entities_as_of, stamped
+from confwarden.sources.tenant_pages import read_tenant_pages
 from confwarden.standins import entities as e
 from confwarden.streaming import (
     incremental,
@@ -752,6 +753,40 @@ def audit_guarded(spark, sf):
     return _guarded(spark, sf).findings.select("realm", "client_id", "phase", "target_id", "name")
 
 
+def _broken(spark, sf):
+    """An audit of pages by tenant; in one region the lines of urgent policies have been cut off."""
+    folder = work_folder(spark, "broken")
+    cut = e.table(spark, sf, "nation").selectExpr("n_name AS realm", "n_regionkey = 2 AS cut")
+    documents = e.policy_documents(spark, sf).join(cut, "realm")
+    line = F.to_json(F.struct("client_uuid", "policy_id", "name", "type", "config"))
+    torn = F.col("cut") & (F.col("name") < "2")
+    lines = documents.select("realm", F.when(torn, F.left(line, F.lit(30))).otherwise(line).alias("line"))
+    lines.hint("rebalance", "realm").write.partitionBy("realm").text(f"{folder}/export")
+    policies, broken = read_tenant_pages(spark, "policy", f"{folder}/export", folder)
+    return audit(
+        Entities(
+            realms=e.realms(spark, sf).select("realm"),
+            clients=e.client_documents(spark, sf),
+            roles=e.role_documents(spark, sf),
+            policies=policies,
+            broken=broken,
+        ),
+        AuditConfig(pattern="", reserved=e.RESERVED),
+    )
+
+
+@query
+def broken_pages(spark, sf):
+    """The tenants that broken lines keep out, and how many lines."""
+    return _broken(spark, sf).rejected.select("realm", "entity", "actual", "reason")
+
+
+@query
+def audit_readable(spark, sf):
+    """What the audit finds for all other tenants."""
+    return _broken(spark, sf).dead_policies.select("realm", "client_uuid", "policy_id", "refs")
+
+
 @query
 def audit_as_of(spark, sf):
     """Two exports that overlap: the second, without any role, has come in full for some tenants.

@@ -1,12 +1,16 @@
 """Snapshots, the compact ledger, pages by index."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from confwarden.operators.batches import page, read_page, write_pages
 from confwarden.plans import AuditConfig, Entities, audit, commit_audit
 from confwarden.sinks import done_rows, read_ledger, record_run
+from confwarden.sources import land_export
 from confwarden.sources.snapshots import entities_as_of, mixtures, newest, stamped, whole_snapshots
+from confwarden.sources.tenant_pages import read_tenant_pages
 from conftest import rows
 from test_audit import role_policy
 from test_incremental import files_read
@@ -117,3 +121,49 @@ def test_deep_pages(spark, folder):
     assert len(deep.collect()) == 100
     write_pages(df.limit(0), ["k", "id"], f"{folder}/none", ranges=4)
     assert read_page(spark, f"{folder}/none", df.schema, ["k", "id"], 0, 10).isEmpty()
+
+
+def test_a_broken_page_keeps_its_tenant_out(spark, frame, folder):
+    """One cut line, one document without its key: two tenants are named, the third is audited."""
+    for tenant, lines in {
+        "r": ['[{"client_uuid": "c", "policy_id": "p", "type": "role", "config": {"roles": "[{\\"id\\": \\"gone\\"}]"}}]'],
+        "s": ['[{"client_uuid": "c", "policy_id": "p", "type"', '{"client_uuid": "c", "policy_id": "q", "type": "role"}'],
+        "t": ['{"client_uuid": "c", "id": "p", "type": "role"}'],
+    }.items():
+        os.makedirs(f"{folder}/export/realm={tenant}")
+        with open(f"{folder}/export/realm={tenant}/a.json", "w") as out:
+            out.write("\n".join(lines) + "\n")
+    policies, broken = read_tenant_pages(spark, "policy", f"{folder}/export", f"{folder}/landed")
+    assert rows(policies, "realm", "policy_id") == [("r", "p"), ("s", "q")]
+    assert rows(broken, "realm", "reason") == [("s", "unreadable line"), ("t", "lacks policy_id")]
+    assert all("/realm=" in r.file for r in broken.collect())
+    entities = Entities(
+        frame("realm", [("r",), ("s",), ("t",)]),
+        frame("client", [(t, "c", "x", True, None, None) for t in "rst"]),
+        frame("role", []),
+        policies,
+        broken=broken,
+    )
+    result = audit(entities, AuditConfig(pattern=""))
+    assert rows(result.dead_policies, "realm") == [("r",)] and rows(result.clients, "realm") == [("r",)]
+    assert rows(result.rejected, "realm", "entity", "reason") == [
+        ("s", "policy", "unreadable line"),
+        ("t", "policy", "lacks policy_id"),
+    ]
+    os.makedirs(f"{folder}/flat")
+    with open(f"{folder}/flat/a.json", "w") as out:
+        out.write("WARN 503\n")
+    with pytest.raises(Exception, match="outside the folder of a tenant"):
+        read_tenant_pages(spark, "policy", f"{folder}/flat", f"{folder}/flat-landed")
+
+
+def test_tenants_prune_partitions_as_the_query_runs(spark, frame, folder):
+    """A landed table by tenant, joined with the tenants chosen: the scan skips the others' files."""
+    policies = frame("policy", [role_policy(t, "c", f"p{n}", "gone") for t in "rstu" for n in range(3)])
+    landed = land_export(policies, f"{folder}/policy", by="realm")
+    spark.createDataFrame([("s", 1), ("x", 2)], "realm string, wanted int").write.parquet(f"{folder}/targets")
+    targets = spark.read.parquet(f"{folder}/targets").filter("wanted = 1").select("realm")
+    found = landed.join(targets, "realm", "left_semi")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert rows(found, "realm", "policy_id") == [("s", f"p{n}") for n in range(3)]
