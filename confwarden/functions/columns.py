@@ -45,14 +45,23 @@ def first_with_ids(*lists):
     return F.get(F.filter(F.array(*lists), lambda ids: F.size(ids) > 0), F.lit(0))
 
 
+def _one_list(text):
+    """Whether a text begins with a bracket and its only closing one is its last character.
+
+    Such a text, as exports nearly always write it, can have no rest behind the list.
+    """
+    return F.startswith(text, F.lit("[")) & (F.locate("]", text) == F.length(text))
+
+
 def _elements(text):
     """Elements of a text that is a JSON list as a whole; null for anything else.
 
-    The parser stops after one value, so the text is put into a list of its own: a rest
-    behind the value is then an error, or a second element.
+    The parser stops after one value, so a text that may have a rest behind the value is put
+    into a list of its own: the rest is then an error, or a second element.
     """
     whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.try_variant_get(F.when(F.size(whole) == 1, F.get(whole, F.lit(0))), "$", "array<variant>")
+    inner = F.try_variant_get(F.when(F.size(whole) == 1, F.get(whole, F.lit(0))), "$", "array<variant>")
+    return F.when(_one_list(text), F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")).otherwise(inner)
 
 
 def _is_object(element):
@@ -66,7 +75,9 @@ def decode_role_ids(text):
     """
     listed = F.when(text.rlike(r"^\s*\["), F.concat(F.lit("["), text, F.lit("]")))
     whole = F.from_json(listed, "array<array<struct<id:string>>>")
-    return clean_ids(F.when(F.size(whole) == 1, F.get(whole, F.lit(0)).getField("id")))
+    inner = F.when(F.size(whole) == 1, F.get(whole, F.lit(0)).getField("id"))
+    alone = F.from_json(text, "array<struct<id:string>>").getField("id")
+    return clean_ids(F.when(_one_list(text), alone).otherwise(inner))
 
 
 def decode_assoc_ids(text):
