@@ -54,9 +54,9 @@ SUMMARY = (
 
 def run_summary(
     realms: DataFrame,
-    clients: DataFrame,
-    policies: DataFrame,
-    permissions: DataFrame,
+    clients: DataFrame | None = None,
+    policies: DataFrame | None = None,
+    permissions: DataFrame | None = None,
     outcomes: DataFrame | None = None,
 ) -> DataFrame:
     """One row of six counters.
@@ -69,12 +69,8 @@ def run_summary(
         n = F.count("*") if condition is None else F.count_if(condition)
         return df.agg(n.alias("n")).select(F.lit(name).alias("counter"), "n")
 
-    parts = [
-        counter(realms, "realms_processed"),
-        counter(clients, "clients_checked"),
-        counter(policies, "dead_policies"),
-        counter(permissions, "dead_permissions"),
-    ]
+    given = zip((realms, clients, policies, permissions), SUMMARY, strict=False)
+    parts = [counter(df, name) for df, name in given if df is not None]
     if outcomes is not None:
         tally = outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
         name = F.when(F.col("outcome") == "OK", "deleted").otherwise("delete_failures")

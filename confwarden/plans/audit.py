@@ -8,12 +8,12 @@ costs no more than its own tasks.
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from confwarden import fixed
 from confwarden.functions import log_line, policy_path
-from confwarden.operators.batches import number_batches
+from confwarden.operators.batches import SLICE_DIGITS, number_batches
 from confwarden.operators.clients import (
     CLIENT_KEY,
     clients_in_scope,
@@ -45,13 +45,18 @@ from confwarden.sources.tenant_pages import broken_tenants
 
 @dataclass(frozen=True)
 class AuditConfig:
-    """Parameters of a run; an empty ``tenants`` text means all tenants."""
+    """Parameters of a run; an empty ``tenants`` text means all tenants.
+
+    ``slice_digits``: batches are numbered in 16 to that power slices for each client and phase
+    (see ``number_batches``); a client with very many findings wants more.
+    """
 
     pattern: str = fixed.CLIENT_PATTERN
     tenants: str = ""
     reserved: str = fixed.RESERVED_REALM
     batch_size: int = fixed.BATCH_SIZE
     dry_run: bool = True
+    slice_digits: int = SLICE_DIGITS
 
 
 @dataclass(frozen=True)
@@ -91,6 +96,15 @@ class AuditResult:
     rejected: DataFrame | None = None
 
 
+def land_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """``land``, and how many rows were written, counted by the tasks that write them.
+
+    These are the last tasks of the job, so a task that is repeated is counted once.
+    """
+    written = Observation()
+    return land(df.observe(written, F.count(F.lit(1)).alias("n")), path), written.get["n"]
+
+
 def scope_of(entities: Entities, config: AuditConfig, folder: str):
     """Tenants and clients this run looks at."""
     targets = target_list(config.tenants)
@@ -227,12 +241,12 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
     folder = folder or work_folder(spark, "audit")
 
     realms, clients, rejected = scope_of(entities, config, folder)
-    clients = land(clients, f"{folder}/client")
-    dead = land(
+    clients, checked = land_counted(clients, f"{folder}/client")
+    dead, policies_found = land_counted(
         dead_policies(role_edges(entities.policies, clients, entities.details), entities.roles),
         f"{folder}/dead_policy",
     )
-    orphaned = land(
+    orphaned, permissions_found = land_counted(
         dead_permissions(
             permission_edges(entities.policies, clients, entities.associations),
             dead,
@@ -248,6 +262,9 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
         outcomes = only_found(outcomes, planned.select("resource_path"), ["resource_path"])
     named = with_names(findings, entities.policies, clients)
     group = [*CLIENT_KEY, "phase"]
+    # What was counted as it was written is not read again.
+    known = {"clients_checked": checked, "dead_policies": policies_found, "dead_permissions": permissions_found}
+    summary = run_summary(realms, outcomes=outcomes).withColumns({k: F.lit(n).cast("long") for k, n in known.items()})
     return AuditResult(
         realms=realms,
         clients=clients,
@@ -255,8 +272,8 @@ def audit(entities: Entities, config: AuditConfig = AuditConfig(), folder: str |
         dead_permissions=orphaned,
         findings=named,
         counts=findings_by_client(clients, findings),
-        plan=number_batches(planned, group, "target_id", config.batch_size),
-        summary=run_summary(realms, clients, dead, orphaned, outcomes),
+        plan=number_batches(planned, group, "target_id", config.batch_size, config.slice_digits),
+        summary=summary,
         folder=folder,
         config=config,
         rejected=rejected,

@@ -71,6 +71,6 @@ def stream_audit(
         clients=clients,
         findings=findings,
         counts=findings_by_client(clients, findings),
-        plan=number_batches(fresh, [*CLIENT_KEY, "phase"], "target_id", config.batch_size),
+        plan=number_batches(fresh, [*CLIENT_KEY, "phase"], "target_id", config.batch_size, config.slice_digits),
         pending=pending_records(policies, clients),
     )

@@ -167,3 +167,16 @@ def test_tenants_prune_partitions_as_the_query_runs(spark, frame, folder):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
     assert rows(found, "realm", "policy_id") == [("s", f"p{n}") for n in range(3)]
+
+
+def test_counters_come_from_the_writes(spark, frame):
+    """The summary reads none of the tables whose rows were counted as they were written."""
+    entities = Entities(
+        frame("realm", [("r",), ("s",)]),
+        frame("client", [("r", f"c{n}", "x", True, None, None) for n in range(5)]),
+        frame("role", []),
+        frame("policy", [role_policy("r", f"c{n}", "p", "gone") for n in range(3)]),
+    )
+    result = audit(entities, AuditConfig(pattern="", slice_digits=1))
+    assert result.summary.first()[:4] == (2, 5, 3, 0) and result.summary.inputFiles() == []
+    assert rows(result.plan, "client_uuid", "batch_no") == [(f"c{n}", 0) for n in range(3)]
