@@ -216,7 +216,7 @@ def _folded(steps, step_size, rate, ahead):
     return F.aggregate(history, start, one)
 
 
-def fit_rates(spark, members, domains, targets, size=1.0, rounds=300, settled=1e-5, landed=10):
+def fit_rates(spark, members, domains, targets, size=1.0, rounds=100, settled=1e-5, landed=10):
     """Projected gradient steps whose rates bring the domains' expected tokens to the targets.
 
     Minimises the squared distance of expected tokens by domain to the targets, each over the
