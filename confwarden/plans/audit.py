@@ -157,7 +157,11 @@ def role_edges(policies: DataFrame, clients: DataFrame, details: DataFrame | Non
     """References of the role policies of ``clients``."""
     mine = policies_of_type(policies, fixed.ROLE_POLICY).select(*POLICY_KEY, "config")
     mine = only_found(mine, clients.select(*CLIENT_KEY), CLIENT_KEY)
-    listed = with_role_ids(mine).drop("config")
+    return listed_role_edges(with_role_ids(mine).drop("config"), details)
+
+
+def listed_role_edges(listed: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """The same of policies whose lists are decoded (``role_ids``)."""
     if details is not None:
         return complete_role_refs(listed, details)
     return explode_refs(listed, "role_ids", "role_id")
@@ -169,7 +173,11 @@ def permission_edges(policies: DataFrame, clients: DataFrame, associations: Data
         *CLIENT_KEY, F.col("policy_id").alias("permission_id"), "type", "config"
     )
     mine = only_found(mine, clients.select(*CLIENT_KEY), CLIENT_KEY)
-    listed = with_assoc_ids(mine).drop("config")
+    return listed_permission_edges(with_assoc_ids(mine).drop("config"), associations)
+
+
+def listed_permission_edges(listed: DataFrame, associations: DataFrame | None = None) -> DataFrame:
+    """The same of permissions whose lists are decoded (``policy_ids``)."""
     if associations is not None:
         return complete_assoc_refs(listed, associations)
     return explode_refs(listed, "policy_ids", "policy_id")

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from confwarden import schemas
 from confwarden.operators.liveness import dead_permissions, dead_policies
 from confwarden.operators.sticky import sticky_flag
+from confwarden.plans import audit
 from confwarden.plans.audit import permission_edges, role_edges
 from confwarden.sinks import cursors, unseen
 from confwarden.streaming import (
     page_stream,
+    phases,
     read_batches,
     stream_dead_permissions,
     stream_dead_policies,
+    stream_plan,
     stream_sticky_flag,
 )
 from conftest import rows
@@ -206,3 +209,67 @@ def test_cursors_count_the_scope_only(spark, known, folder):
     stream_dead_policies(page_stream(spark, "policy", f"{folder}/policy"), clients, roles, folder, "run-1")
     ledger = read_batches(spark, f"{folder}/ledger/dead_policy", schemas.RUN_LEDGER)
     assert rows(cursors(ledger), "client_uuid", "offset") == [("c0", 1)]
+
+
+def written(folder):
+    return sorted(name for name in os.listdir(folder) if name.startswith("batch_id="))
+
+
+def test_scope_is_joined_once_a_run(spark, known, folder):
+    """However many batches a run has, one join with the clients, one ledger table and one of edges."""
+    clients, roles = known
+    for run, last in enumerate((4, 7)):
+        for number in range(5 * run, last + 1):
+            page(f"{folder}/pages", number, [policy(10 * number + n, "gone", "gone too") for n in range(4)])
+        stream = page_stream(spark, "policy", f"{folder}/pages", files_per_batch=1)
+        found = stream_dead_policies(stream, clients, roles, folder, "run-1")
+        assert found.count() == 4 * (last + 1)
+    assert written(f"{folder}/dead_policy") == written(f"{folder}/ledger/dead_policy") == ["batch_id=4", "batch_id=7"]
+    assert spark.read.parquet(f"{folder}/dead_policy").count() == 2 * 4 * 8
+
+
+@pytest.mark.parametrize("lost", ["replace", "write_batch"])
+def test_a_run_that_breaks_off_is_settled_by_the_next(spark, known, folder, monkeypatch, lost):
+    """Broken off before its second batch or before its ledger: every page counts once."""
+    clients, roles = known
+    for number in range(3):
+        page(f"{folder}/pages", number, [policy(10 * number + n, "gone") for n in range(4)])
+
+    def run():
+        stream = page_stream(spark, "policy", f"{folder}/pages", files_per_batch=1)
+        return stream_dead_policies(stream, clients, roles, folder, "run-1")
+
+    whole, left = getattr(phases, lost), [2 if lost == "replace" else 1]
+
+    def failing(*args):
+        left[0] -= 1
+        if not left[0]:
+            raise RuntimeError("lost")
+        return whole(*args)
+
+    monkeypatch.setattr(phases, lost, failing)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(phases, lost, whole)
+    page(f"{folder}/pages", 3, [policy(30 + n, "gone") for n in range(4)])
+    for _ in range(2):
+        assert run().count() == 16 and spark.read.parquet(f"{folder}/dead_policy").count() == 16
+        ledger = read_batches(spark, f"{folder}/ledger/dead_policy", schemas.RUN_LEDGER)
+        assert rows(cursors(ledger), "client_uuid", "offset") == [("c0", 8), ("c1", 8)]
+
+
+def test_plan_works_out_its_verdicts_once(spark, known, folder):
+    """Numbering reads its rows twice: they come from a table, not from the pages' references."""
+    clients, roles = known
+    page(f"{folder}/pages", 0, [policy(n, "gone") for n in range(4)] + [policy(8, "p0", "p2", kind="scope")])
+    stream = page_stream(spark, "policy", f"{folder}/pages")
+    dead = stream_dead_policies(stream, clients, roles, folder, "run-1")
+    plan = stream_plan(dead, stream_dead_permissions(stream, clients, dead, folder, "run-1"), batch_size=2)
+    assert rows(plan, "client_uuid", "phase", "batch_no") == [
+        ("c0", "1", 0),
+        ("c0", "1", 0),
+        ("c0", "2-scope", 0),
+        ("c1", "1", 0),
+        ("c1", "1", 0),
+    ]
+    assert all("/stream-findings-" in file for file in plan.inputFiles())
