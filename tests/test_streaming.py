@@ -1,5 +1,6 @@
 """Streams: over any split of the same pages they find what the batch finds."""
 
+import importlib
 import json
 import os
 
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 from confwarden import schemas
 from confwarden.operators.liveness import dead_permissions, dead_policies
 from confwarden.operators.sticky import sticky_flag
-from confwarden.plans import audit
 from confwarden.plans.audit import permission_edges, role_edges
 from confwarden.sinks import cursors, unseen
 from confwarden.streaming import (
@@ -273,3 +273,23 @@ def test_plan_works_out_its_verdicts_once(spark, known, folder):
         ("c1", "1", 0),
     ]
     assert all("/stream-findings-" in file for file in plan.inputFiles())
+
+
+def test_associations_are_joined_once_a_run(spark, known, folder, monkeypatch):
+    """The association table is read once for all batches, and counts as it would batch by batch."""
+    clients, _ = known
+    key = [("r", f"c{n % 2}", f"p{n}") for n in range(12)]
+    associations = spark.createDataFrame([(*k, p) for k in key for p in ("x", "y", "")], schemas.PERMISSION_ASSOC)
+    dead = spark.createDataFrame(
+        [("r", "c0", "x"), ("r", "c0", "y"), ("r", "c1", "x")], "realm string, client_uuid string, policy_id string"
+    )
+    for number in range(6):
+        mine = [{**policy(n, kind="scope"), "config": None} for n in (2 * number, 2 * number + 1)]
+        page(f"{folder}/pages", number, mine)
+    audit = importlib.import_module("confwarden.plans.audit")  # the package has a function of that name
+    joined, complete = [], audit.complete_assoc_refs
+    monkeypatch.setattr(audit, "complete_assoc_refs", lambda *args: joined.append(1) or complete(*args))
+    stream = page_stream(spark, "policy", f"{folder}/pages", files_per_batch=1)
+    found = stream_dead_permissions(stream, clients, dead, folder, "run-1", associations)
+    assert rows(found, "client_uuid", "permission_id", "refs") == sorted(("c0", f"p{n}", 2) for n in range(0, 12, 2))
+    assert len(joined) == 2  # all batches, and the empty table that gives the schema
