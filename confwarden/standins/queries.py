@@ -895,6 +895,7 @@ def stream_policies(spark, sf):
 def stream_permissions(spark, sf):
     folder = work_folder(spark, "stream")
     dead, scope = _policy_stream(spark, sf, folder)
+    dead = land(dead, f"{folder}/dead")
     pages = _json_pages(e.permission_documents(spark, sf), f"{folder}/permission")
     associations = land(e.association_documents(spark, sf), f"{folder}/association")
     found = stream_dead_permissions(
