@@ -231,3 +231,31 @@ def test_plans_are_written_once(spark, folder):
     assert last_written(spark, f"{folder}/out/index/compact", "upto") >= 5
     assert files_read(planned_paths(spark, f"{folder}/out", 7, [3])) < files_read(index)
     assert all_planned(spark, f"{folder}/nothing", plan.schema).isEmpty()
+
+
+def test_the_set_is_looked_up_once_a_run(spark, frame, folder, monkeypatch):
+    """However many batches a run has, its references are looked up at once, and come to the same counts."""
+    state, both, looked_up, lookup = inc.policy_state(spark, folder), clients(spark, "c0", "c1"), [], inc.lookup
+    monkeypatch.setattr(inc, "lookup", lambda *args: looked_up.append(1) or lookup(*args))
+    known = roles(frame, 1)
+    for n in range(6):
+        page(f"{folder}/page", n, [policy(10 * n + i, f"role{i}", "gone", "gone") for i in range(3)] + [bare(10 * n + 3)])
+    take_policies(spark, state, known, folder)
+    assert len(looked_up) == 1
+    counted = rows(inc.counts_of(state), "policy_id", "refs", "total", "hits", "pending")
+    want = [[f"p{10 * n + i}", 3, 3, int(i == 1), False] for n in range(6) for i in range(3)]
+    assert counted == sorted(map(tuple, want + [[f"p{10 * n + 3}", 0, 0, 0, True] for n in range(6)]), key=repr)
+    page(f"{folder}/page", 6, [policy(1, "role1")])
+    take_policies(spark, state, roles(frame, 2), folder)
+    assert len(looked_up) == 3  # its own pages, and the earlier references to changed roles
+    dead = [(f"p{10 * n + i}",) for n in range(6) for i in (0, 1)]
+    assert rows(inc.dead_policies_of(state, both), "policy_id") == sorted(dead)
+
+
+def test_members_without_a_name_change_nothing(spark, frame, folder):
+    """A null in both sets is no change, and one that joins finds no reference."""
+    state, both = inc.policy_state(spark, folder), clients(spark, "c0", "c1")
+    page(f"{folder}/page", 0, [policy(2, "role1", "role1"), policy(4, "gone")])
+    for known, want in ((("role1", None), [("p4",)]), ((None, "gone", "gone"), [("p2",)]), ((None, None), [("p2",), ("p4",)])):
+        take_policies(spark, state, frame("role", [("r", name, None) for name in known]), folder)
+        assert rows(inc.dead_policies_of(state, both), "policy_id") == want
