@@ -235,8 +235,7 @@ def test_plans_are_written_once(spark, folder):
 
 def test_the_set_is_looked_up_once_a_run(spark, frame, folder, monkeypatch):
     """However many batches a run has, its references are looked up at once, and come to the same counts."""
-    state, both, looked_up, lookup = inc.policy_state(spark, folder), clients(spark, "c0", "c1"), [], inc.lookup
-    monkeypatch.setattr(inc, "lookup", lambda *args: looked_up.append(1) or lookup(*args))
+    state, both, looked_up = inc.policy_state(spark, folder), clients(spark, "c0", "c1"), counting(monkeypatch)
     known = roles(frame, 1)
     for n in range(6):
         page(f"{folder}/page", n, [policy(10 * n + i, f"role{i}", "gone", "gone") for i in range(3)] + [bare(10 * n + 3)])
@@ -259,3 +258,42 @@ def test_members_without_a_name_change_nothing(spark, frame, folder):
     for known, want in ((("role1", None), [("p4",)]), ((None, "gone", "gone"), [("p2",)]), ((None, None), [("p2",), ("p4",)])):
         take_policies(spark, state, frame("role", [("r", name, None) for name in known]), folder)
         assert rows(inc.dead_policies_of(state, both), "policy_id") == want
+
+
+def counting(monkeypatch):
+    """How often references are looked up from now on."""
+    looked_up, lookup = [], inc.lookup
+    monkeypatch.setattr(inc, "lookup", lambda *args: looked_up.append(1) or lookup(*args))
+    return looked_up
+
+
+def test_associations_are_looked_up_once_a_run(spark, frame, folder, monkeypatch):
+    """Batches of permissions and of associations make one lookup among the dead policies."""
+    state, both, looked_up = inc.permission_state(spark, folder), clients(spark, "c0", "c1"), counting(monkeypatch)
+    dead = table(spark, "policy", [policy(2), policy(4)])
+    for n in range(4):
+        page(f"{folder}/page", n, [bare(10 + n, "scope"), policy(20 + n, "p2", kind="scope")])
+        page(f"{folder}/association", n, association(10 + n, "p2", "p4", *["p6"] * (n == 2)))
+    pages = page_stream(spark, "policy", f"{folder}/page", 1)
+    inc.advance_permissions(state, dead, pages, page_stream(spark, "permission_assoc", f"{folder}/association", 1))
+    assert len(looked_up) == 1
+    # Dead policies are of c0, so p11, p13, p21 and p23 of c1 have none; p12 has one that lives.
+    assert rows(inc.dead_permissions_of(state, both), "permission_id", "refs") == [("p10", 2), ("p20", 1), ("p22", 1)]
+
+
+def test_details_are_looked_up_once_a_run(spark, frame, folder, monkeypatch):
+    """Batches of policies and of their details make one lookup among the roles, and count alike."""
+    state, both, looked_up = inc.policy_state(spark, folder), clients(spark, "c0", "c1"), counting(monkeypatch)
+    os.makedirs(f"{folder}/detail")
+    for n in range(4):
+        page(f"{folder}/page", n, [bare(10 * n + i) for i in range(3)])
+    take_policies(spark, state, roles(frame, 1), folder, details=False)
+    assert len(looked_up) == 1
+    names = sorted((f"p{10 * n + i}",) for n in range(4) for i in range(3))
+    assert rows(inc.pending_records(state, None), "policy_id") == names
+    for n in range(4):
+        page(f"{folder}/detail", n, [detail(10 * n, "gone", "gone"), detail(10 * n + 1, "gone", "role1")])
+    take_policies(spark, state, roles(frame, 1), folder, details=True)
+    assert len(looked_up) == 2
+    assert rows(inc.dead_policies_of(state, both), "policy_id", "refs") == [(f"p{10 * n}", 2) for n in range(4)]
+    assert rows(inc.pending_records(state, None), "policy_id") == sorted((f"p{10 * n + 2}",) for n in range(4))
