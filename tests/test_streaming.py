@@ -293,3 +293,24 @@ def test_associations_are_joined_once_a_run(spark, known, folder, monkeypatch):
     found = stream_dead_permissions(stream, clients, dead, folder, "run-1", associations)
     assert rows(found, "client_uuid", "permission_id", "refs") == sorted(("c0", f"p{n}", 2) for n in range(0, 12, 2))
     assert len(joined) == 2  # all batches, and the empty table that gives the schema
+
+
+def test_clients_and_roles_are_never_broadcast(spark, known, folder, monkeypatch):
+    """However small their files: references, ledger rows and the verdict come from shuffles."""
+    clients, roles = known
+    clients.write.parquet(f"{folder}/client")
+    roles.write.parquet(f"{folder}/role")
+    clients, roles = spark.read.parquet(f"{folder}/client"), spark.read.parquet(f"{folder}/role")
+    page(f"{folder}/pages", 0, [policy(n, "gone") for n in range(4)])
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    replace, write_batch = phases.replace, phases.write_batch
+    monkeypatch.setattr(phases, "replace", lambda df, *args: planned(df) or replace(df, *args))
+    monkeypatch.setattr(phases, "write_batch", lambda df, *args: planned(df) or write_batch(df, *args))
+    dead = stream_dead_policies(page_stream(spark, "policy", f"{folder}/pages"), clients, roles, folder, "run-1")
+    planned(dead)
+    assert sum("Join" in plan for plan in plans) == 3 and not any("Broadcast" in plan for plan in plans)
+    assert rows(dead, "policy_id") == [("p0",), ("p1",), ("p2",), ("p3",)]
