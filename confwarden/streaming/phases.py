@@ -6,8 +6,8 @@ checkpoint move on: a crash replays the batch, which replaces what it had writte
 details and associations are whole tables, so they are not joined to each micro-batch but to
 all new records at once, when the pages have been read: the references and the ledger rows of
 the run are written under the number of its last batch, the ledger last.  A run broken off
-in between is settled by the next one, before that reads pages.  Clients and roles are joined
-by shuffles, so that what goes through the driver does not grow with them.
+in between is settled by the next one, before that reads pages.  Clients, roles
+and associations are joined by shuffles, so that what goes through the driver does not grow with them.
 The verdict comes at the end of a run, over all references landed so far: a later version
 of a policy can revive it, and policies may arrive after the permissions that need them.
 """
@@ -154,10 +154,11 @@ def stream_dead_permissions(
     phase = F.when(F.col("type") == "scope", fixed.PERMISSION_PHASES["scope"]).otherwise(
         fixed.PERMISSION_PHASES["resource"]
     )
+    linked = None if associations is None else whole(associations)
     edges = _run_phase(
         pages,
         _permission_records,
-        lambda records: listed_permission_edges(records, associations),
+        lambda records: listed_permission_edges(records, linked),
         clients,
         "dead_permission",
         folder,
