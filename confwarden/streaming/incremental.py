@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from confwarden import fixed
 from confwarden.functions import clean_ids, decode_role_ids, first_with_ids
 from confwarden.operators.clients import CLIENT_KEY
-from confwarden.operators.lookup import lookup, only_found
+from confwarden.operators.lookup import lookup, only_found, whole
 from confwarden.operators.refs import (
     PERMISSION_KEY,
     POLICY_KEY,
@@ -50,6 +50,8 @@ from confwarden.sinks.folders import is_written, last_written, replace
 
 LISTED, DETAIL = "listed", "detail"
 BUCKETS = 16
+#: Changes of the set beyond this many are joined by shuffles, whatever Spark takes them for.
+FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -103,14 +105,18 @@ def _counted(state: EdgeCounts, run: int) -> DataFrame:
 
     A record without references has a row that says so.  Totals are taken from the landed
     references, which lie record by record, and only hits from those that the lookup has dealt
-    out by target.
+    out by target.  These are written record by record again: as they come, they take twice the
+    room, there and wherever they are shuffled later.  An empty set finds nothing.
     """
     landed = state.read(f"landed/run={run}", _landed_schema(state))
     members = state.members(run).select(*state.target, F.lit(True).alias("member"))
-    marked = lookup(landed, members, list(state.target)).withColumns(
-        {"found": F.col("member").isNotNull(), "bucket": _bucket(state)}
-    )
-    replace(marked.drop("member"), f"{state.folder}/edges/run={run}/label=run", "bucket")
+    if members.isEmpty():
+        marked = landed.withColumn("member", F.lit(None).cast("boolean"))
+    else:
+        marked = lookup(landed, whole(members), list(state.target))
+    marked = marked.withColumns({"found": F.col("member").isNotNull(), "bucket": _bucket(state)})
+    marked = marked.drop("member").sortWithinPartitions("bucket", *state.source[::-1])
+    replace(marked, f"{state.folder}/edges/run={run}/label=run", "bucket")
     schema = T.StructType([*state.edge_schema.fields, T.StructField("found", T.BooleanType())])
     found = state.read(f"edges/run={run}/label=run", schema).filter("found")
     leads = F.col(state.target[-1]).isNotNull()
@@ -136,11 +142,12 @@ def _corrections(state: EdgeCounts, run: int) -> DataFrame | None:
     path = f"{state.folder}/changes/run={run}"
     replace(changed.withColumn("bucket", _bucket(state)), path)
     changes = state.spark.read.parquet(path)
-    buckets = [r.bucket for r in changes.select("bucket").distinct().collect()]  # BUCKETS at most
-    if not buckets:
+    changed_in = {r.bucket: r["count"] for r in changes.groupBy("bucket").count().collect()}  # BUCKETS at most
+    if not changed_in:
         return None
-    touched = earlier_edges(state, run, buckets).drop("refs")
-    marked = lookup(touched, changes.select(*key, F.col("change").alias("hits")), key)
+    touched = earlier_edges(state, run, list(changed_in)).drop("refs")
+    hits = changes.select(*key, F.col("change").alias("hits"))
+    marked = lookup(touched, hits if sum(changed_in.values()) <= FEW else whole(hits), key)
     nothing = {"bare": F.lit(False), "total": F.lit(0).cast("long"), "refs": F.lit(0).cast("long")}
     return marked.filter(F.col("hits").isNotNull()).withColumns(nothing)
 

@@ -297,3 +297,34 @@ def test_details_are_looked_up_once_a_run(spark, frame, folder, monkeypatch):
     assert len(looked_up) == 2
     assert rows(inc.dead_policies_of(state, both), "policy_id", "refs") == [(f"p{10 * n}", 2) for n in range(4)]
     assert rows(inc.pending_records(state, None), "policy_id") == sorted((f"p{10 * n + 2}",) for n in range(4))
+
+
+def test_an_empty_set_is_not_looked_up(spark, frame, folder, monkeypatch):
+    """References that land before there is any dead policy are not dealt out to find none."""
+    state, both, looked_up = inc.permission_state(spark, folder), clients(spark, "c0", "c1"), counting(monkeypatch)
+    for n in range(3):
+        page(f"{folder}/page", n, [bare(10 + n, "scope"), policy(20 + n, "p2", kind="scope")])
+        page(f"{folder}/association", n, association(10 + n, "p2", *["p6"] * (n == 2)))
+
+    def run(dead):
+        pages = page_stream(spark, "policy", f"{folder}/page", 1)
+        inc.advance_permissions(state, dead, pages, page_stream(spark, "permission_assoc", f"{folder}/association", 1))
+        return rows(inc.dead_permissions_of(state, both), "permission_id", "refs")
+
+    dead = table(spark, "policy", [policy(2)])
+    assert run(dead.limit(0)) == [] and not looked_up
+    assert rows(inc.counts_of(state), "permission_id", "total", "hits")[0] == ("p10", 1, 0)
+    assert run(dead) == [("p10", 1), ("p20", 1), ("p22", 1)]
+    assert len(looked_up) == 1  # what has landed earlier, among the changes
+
+
+def test_found_references_lie_record_by_record(spark, frame, folder):
+    """The lookup deals them out by role; in their files they are sorted by record again."""
+    state = inc.policy_state(spark, folder)
+    page(f"{folder}/page", 0, [policy(n % 50, *[f"role{n % 7}", f"role{n % 11}", "gone"]) for n in range(300)])
+    take_policies(spark, state, roles(frame, *range(11)), folder)
+    edges = spark.read.parquet(f"{state.folder}/edges").select("*", F.input_file_name().alias("file")).collect()
+    assert len(edges) == 900 and len({e.file for e in edges}) > 1
+    for file in {e.file for e in edges}:
+        mine = [(e.policy_id, e.client_uuid) for e in edges if e.file == file]
+        assert mine == sorted(mine)
