@@ -224,13 +224,13 @@ def counts_of(state: EdgeCounts, run: int | None = None) -> DataFrame:
     if run is None:
         run = last_written(state.spark, f"{state.folder}/base", "run")
     rows = state.read(f"base/run={run}", state.count_schema)
-    listed = rows.filter(F.col("origin") == LISTED)
-    details = (
-        rows.filter(F.col("origin") == DETAIL)
-        .groupBy(*state.source)
-        .agg(*[f(c).alias(f"detail_{c}") for f, c in ((F.sum, "total"), (F.sum, "hits"), (F.max, "refs"))])
-    )
-    joined = listed.join(details, list(state.source), "left")
+    listed, detailed = rows.filter(F.col("origin") == LISTED), rows.filter(F.col("origin") == DETAIL)
+    sums = {f"detail_{c}": f(c) for f, c in ((F.sum, "total"), (F.sum, "hits"), (F.max, "refs"))}
+    if detailed.isEmpty():  # told by the files' footers; nothing need be shuffled then
+        joined = listed.withColumns(dict.fromkeys(sums, F.lit(None).cast("long")))
+    else:
+        details = detailed.groupBy(*state.source).agg(*[total.alias(name) for name, total in sums.items()])
+        joined = listed.join(details, list(state.source), "left")
 
     def detail(name):
         return F.when(F.col("bare"), F.coalesce(f"detail_{name}", F.lit(0))).otherwise(0)

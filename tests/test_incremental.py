@@ -328,3 +328,17 @@ def test_found_references_lie_record_by_record(spark, frame, folder):
     for file in {e.file for e in edges}:
         mine = [(e.policy_id, e.client_uuid) for e in edges if e.file == file]
         assert mine == sorted(mine)
+
+
+def test_without_details_nothing_is_joined(spark, frame, folder):
+    """What waits for a detail is read from the counts alone as long as no detail has come."""
+    state = inc.policy_state(spark, folder)
+    page(f"{folder}/page", 0, [policy(1, "gone"), bare(2), bare(4)])
+    take_policies(spark, state, roles(frame, 1), folder)
+    waiting = inc.pending_records(state, None)
+    assert rows(waiting, "policy_id") == [("p2",), ("p4",)]
+    plan = waiting._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    page(f"{folder}/detail", 0, [detail(2, "gone")])
+    take_policies(spark, state, roles(frame, 1), folder, details=True)
+    assert rows(inc.pending_records(state, None), "policy_id") == [("p4",)]
