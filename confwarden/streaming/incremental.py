@@ -249,7 +249,7 @@ def in_scope(rows: DataFrame, clients: DataFrame | None) -> DataFrame:
     """The rows of the clients looked at now; of all without any."""
     if clients is None:
         return rows
-    return only_found(rows, clients.select(*CLIENT_KEY), CLIENT_KEY)
+    return only_found(rows, whole(clients.select(*CLIENT_KEY)), CLIENT_KEY)
 
 
 # The two phases -------------------------------------------------------------------------

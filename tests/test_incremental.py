@@ -342,3 +342,22 @@ def test_without_details_nothing_is_joined(spark, frame, folder):
     page(f"{folder}/detail", 0, [detail(2, "gone")])
     take_policies(spark, state, roles(frame, 1), folder, details=True)
     assert rows(inc.pending_records(state, None), "policy_id") == [("p4",)]
+
+
+def test_clients_and_members_are_never_broadcast(spark, frame, folder, monkeypatch):
+    """However small their files: the lookup of a run and the scope of a verdict come from shuffles."""
+    state, plans, replace = inc.policy_state(spark, folder), [], inc.replace
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(inc, "replace", lambda df, *args: planned(df) or replace(df, *args))
+    page(f"{folder}/page", 0, [policy(2, "gone"), policy(3, "role1"), bare(4)])
+    page(f"{folder}/detail", 0, [detail(4, "gone")])
+    clients(spark, "c0").write.parquet(f"{folder}/client")
+    take_policies(spark, state, roles(frame, 1), folder, details=True)
+    dead = inc.in_scope(inc.counts_of(state).filter("hits = 0"), spark.read.parquet(f"{folder}/client"))
+    planned(dead.select("policy_id"))
+    assert "LeftOuter" in "".join(plans[:-1]) and not any("BroadcastExchange" in plan for plan in plans[:-1])
+    assert "SortMergeJoin" in plans[-1] and "LeftSemi" in plans[-1].split("SortMergeJoin")[1]
+    assert rows(dead, "policy_id") == [("p2",), ("p4",)]
