@@ -22,8 +22,5 @@ def last_written(spark: SparkSession, path: str, name: str) -> int:
 
 
 def replace(df: DataFrame, path: str, *partitions: str) -> None:
-    """Write a table; an earlier attempt at it is replaced.
-
-    Ids and digests make up most of it; zstd takes a third less room for them than snappy.
-    """
+    """Write a table, with zstd for its many ids; an earlier attempt at it is replaced."""
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partitions).parquet(path)

@@ -105,8 +105,8 @@ def _counted(state: EdgeCounts, run: int) -> DataFrame:
 
     A record without references has a row that says so.  Totals are taken from the landed
     references, which lie record by record, and only hits from those that the lookup has dealt
-    out by target.  These are written record by record again: as they come, they take twice the
-    room, there and wherever they are shuffled later.  An empty set finds nothing.
+    out by target.  These are written record by record again, so that their ids compress, there and
+    wherever they are shuffled later.  An empty set finds nothing.
     """
     landed = state.read(f"landed/run={run}", _landed_schema(state))
     members = state.members(run).select(*state.target, F.lit(True).alias("member"))
